@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, shared_dir
+from .packing import pack_documents
 from .simhash import hex_fingerprint, simhash_components
+from .tokenio import read_tokens, write_tokens
+from .tokens import default_tokenizer
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pack_documents(spark, read_table(spark, sf_dir, "documents"), default_tokenizer())
+    return got.withColumnRenamed("id", "doc_id")
 
 
 def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +25,18 @@ def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex[:12]}"
+    write_tokens(spark, read_table(spark, sf_dir, "documents"), folder, default_tokenizer())
+    return read_tokens(spark, folder, digest_only=True).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash_bktree": op6_simhash_bktree}
+    return {
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op6_simhash_bktree": op6_simhash_bktree,
+        "op10_token_output": op10_token_output,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
