@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, shared_dir
+from .lm import load_vocabulary, score_documents
 from .packing import pack_documents
 from .simhash import hex_fingerprint, simhash_components
 from .tokenio import read_tokens, write_tokens
-from .tokens import default_tokenizer
+from .tokens import default_pieces, default_tokenizer
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("id", "doc_id")
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    got = score_documents(spark, read_table(spark, sf_dir, "documents"), load_vocabulary(default_pieces()), held_out)
+    return got.withColumnRenamed("id", "doc_id")
+
+
 def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_components(spark, read_table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), hex_fingerprint().alias("fingerprint"), "component_id")
@@ -34,6 +41,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_lattice_lm": op4_lattice_lm,
         "op6_simhash_bktree": op6_simhash_bktree,
         "op10_token_output": op10_token_output,
     }
