@@ -1,10 +1,15 @@
 """Language-model scores: the marginal probability of a text over all subword segmentations.
 
-The pieces come from an existing subword vocabulary; its own scores (ranks) give
-the prior, and expected counts over all training words (EM on the lattice) give
-the weights. A word is spelled from its pieces in every possible way; a forward
-recursion in log space sums over them. Pieces don't cross white space, so a
-text's probability is the product of its words' and of one end.
+A word's lattice has an arc for every piece of an existing subword vocabulary
+that matches, and one arc for the whole word if training saw it. The vocabulary's
+own scores (ranks) give the pieces' prior, and expected uses over all distinct
+training words (EM on the lattice) their weights; whole-word arcs weigh as their
+training counts do, and Witten-Bell's rule shares the mass: of N tokens with V
+distinct, whole words get N/(N+V) and spellings V/(N+V). A forward recursion in
+log space sums all ways to spell a word; a spelling closes with a stop, and an
+empty spelling is the end of the text. Pieces don't cross white space, so a
+text's probability is the product of its words' and its end's, and the
+probabilities of all texts sum to one at most.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ class Vocabulary:
     """Pieces as bytes with prior weights; one hash table for each length in bytes.
 
     ``starts`` marks pieces that open with the word mark: they match at a word's
-    start only. The last entry is the end of a text and never matches.
+    start only. The last entry of ``prior`` is the stop that closes a word.
     """
 
     pieces: list[bytes]
@@ -43,7 +48,7 @@ class Vocabulary:
     starts: np.ndarray
 
     @property
-    def end(self) -> int:
+    def stop(self) -> int:
         return len(self.pieces)
 
 
@@ -66,7 +71,7 @@ def make_vocabulary(scored: list[tuple[bytes, float]]) -> Vocabulary:
         seen.setdefault(bytes([c]), -math.inf)
     pieces = sorted(seen, key=lambda p: (-seen[p], p))
     prior = 1 / (np.arange(len(pieces) + 1) + 2.7)
-    prior[-1] = 1 / 100  # the end
+    prior[-1] = 1 / 100  # the stop
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in sorted({len(p) for p in pieces}):
         at = np.array([i for i, p in enumerate(pieces) if len(p) == size])
@@ -151,7 +156,7 @@ def lattices(v: Vocabulary, words: list[bytes], cells: int = 1 << 15) -> Iterato
 
 
 def _log(p: np.ndarray) -> np.ndarray:
-    return np.append(np.log(p[:-1]), -np.inf)  # -1, and the end, match nothing
+    return np.append(np.log(p[:-1]), -np.inf)  # -1, no match, then weighs nothing
 
 
 def word_counts(docs: DataFrame, keep: int = 200_000) -> DataFrame:
@@ -179,10 +184,11 @@ def word_counts(docs: DataFrame, keep: int = 200_000) -> DataFrame:
     return got.groupBy("word").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
 
 
-def fit(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary, ends: int, rounds: int = 2, strength: float = 1000.0) -> np.ndarray:
-    """Piece probabilities by EM over all training words; the vocabulary's prior counts as ``strength`` uses.
+def fit(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary, rounds: int = 2, strength: float = 1000.0) -> np.ndarray:
+    """Piece probabilities by EM over all distinct training words; the prior counts as ``strength`` uses.
 
-    Each task adds up expected counts; one number for each piece reaches the driver.
+    Spellings stand in for words not seen before, so each word counts once. Each
+    task adds up expected uses; one number for each piece reaches the driver.
     """
     p = vocabulary.prior
     given = spark.sparkContext.broadcast(vocabulary)
@@ -191,31 +197,34 @@ def fit(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary, ends: int
         def run(batches: Iterator[pa.RecordBatch], p: np.ndarray = p) -> Iterator[pa.RecordBatch]:
             v, logp, total = given.value, _log(p), np.zeros(len(p))
             for b in batches:
-                counts = b.column("train").to_numpy().astype(float)
                 for at, lat in lattices(v, b.column("word").to_pylist()):
-                    lat.expected(logp, counts[at], total)
+                    lat.expected(logp, np.ones(len(at)), total)
+                total[v.stop] += b.num_rows
             seen = np.flatnonzero(total)
             yield batch(_PIECE, piece=seen, n=total[seen])
 
         uses = vocabulary.prior * strength
-        for r in words.where("train > 0").select("word", "train").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in words.where("train > 0").select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator():
             uses[r["piece"]] += r["n"]
-        uses[vocabulary.end] += ends
         p = uses / uses.sum()
     given.unpersist()
     return p
 
 
-def score_words(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary, p: np.ndarray) -> DataFrame:
-    """``words`` with lattice: log10 of each word's marginal probability."""
+def score_words(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary, p: np.ndarray, n: int, distinct: int) -> DataFrame:
+    """``words`` with lattice: log10 of each word's marginal probability, where ``n`` tokens, ``distinct`` distinct, were trained on."""
     given = spark.sparkContext.broadcast((vocabulary, _log(p)))
+    stop = math.log(p[vocabulary.stop])
+    whole, spelt = (-math.log(n + distinct), math.log(distinct / (n + distinct))) if n else (-math.inf, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, logp = given.value
         for b in batches:
             out = np.zeros(b.num_rows)
             for at, lat in lattices(v, b.column("word").to_pylist()):
-                out[at] = lat.forward(logp)[:, -1] / math.log(10)
+                out[at] = lat.forward(logp)[:, -1]
+            with np.errstate(divide="ignore"):
+                out = np.logaddexp(np.log(b.column("train").to_numpy()) + whole, out + stop + spelt) / math.log(10)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], schema=_LAT)
 
     return words.select("word", "train", "total").mapInArrow(run, "word binary, train long, total long, lattice double")
@@ -241,14 +250,15 @@ def score_documents(
     n_ends = rows.where(~F.col("held_out")).count()
     seen = counts.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count_if(F.col("train") > 0).alias("v")).first()
     n, v = seen["n"] + n_ends, seen["v"] + (n_ends > 0)
-    p = fit(spark, counts, vocabulary, n_ends, rounds)
-    words = scratch.table(score_words(spark, counts, vocabulary, p), "words")
+    p = fit(spark, counts, vocabulary, rounds)
+    words = scratch.table(score_words(spark, counts, vocabulary, p, n, v), "words")
     scratch.drop(counts)
     bottom = math.log10(n + 0.5 * (v + 1))
     top = words.orderBy(F.desc("total"), "word").limit(head).toArrow()
     base_of = np.log10(np.array(top["train"], float) + 0.5) - bottom
     known = spark.sparkContext.broadcast((top["word"].to_pylist(), np.array(top["train"]) > 0, base_of, np.array(top["lattice"], float)))
-    end = (int(n_ends > 0), math.log10(n_ends + 0.5) - bottom, math.log10(p[vocabulary.end]))
+    p_end = (n_ends + v * p[vocabulary.stop]) / (n + v) if n else p[vocabulary.stop]
+    end = (int(n_ends > 0), math.log10(n_ends + 0.5) - bottom, math.log10(p_end))
     cache: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

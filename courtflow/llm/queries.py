@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 
 from .common import read_table, shared_dir
 from .lm import load_vocabulary, score_documents
+from .mixing import mix_copies
 from .packing import pack_documents
+from .quality import score_quality
 from .simhash import hex_fingerprint, simhash_components
 from .tokenio import read_tokens, write_tokens
 from .tokens import default_pieces, default_tokenizer
 
 
+def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 5 == 0, F.lit(False))
+    got = score_quality(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out("id"))
+    return got.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pack_documents(spark, read_table(spark, sf_dir, "documents"), default_tokenizer())
     return got.withColumnRenamed("id", "doc_id")
@@ -27,6 +35,11 @@ def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("id", "doc_id")
 
 
+def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mix_copies(spark, read_table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_components(spark, read_table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), hex_fingerprint().alias("fingerprint"), "component_id")
@@ -40,8 +53,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_qda": op2_quality_qda,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_lattice_lm": op4_lattice_lm,
+        "op5_entropy_mixing": op5_entropy_mixing,
         "op6_simhash_bktree": op6_simhash_bktree,
         "op10_token_output": op10_token_output,
     }

@@ -61,7 +61,7 @@ def test_vocabulary_file():
 
 def rows():
     r = random.Random(4)
-    words = ["a", "ab", "Bab", "é", "x" * 300, "baba"] + [r.choice("ab") * r.randint(1, 9) + r.choice(["", "é", "q"]) for _ in range(60)]
+    words = ["a", "ab", "Bab", "é", "x" * 60, "baba"] + [r.choice("ab") * r.randint(1, 9) + r.choice(["", "é", "q"]) for _ in range(60)]
     out = [(i, " ".join(r.choice(words) for _ in range(r.choice([0, 1, 20, 200]))), i) for i in range(80)]
     return [*out, (200, None, 1), (201, "", 2), (202, "  \n", 3), (None, "a ab", 4), (5, "only here", 5), (5, "only here", 5), (300, "hot " * 20_000, 1)]
 
@@ -83,26 +83,34 @@ def test_scores_against_plain_python(spark, head):
     p = v.prior
     for _ in range(2):
         uses = v.prior * 1000
-        for w, c in train.items():
+        for w in train:
             if w is not None:
                 for _, lat in lattices(v, [w]):
-                    lat.expected(_log(p), np.array([float(c)]), uses)
-        uses[v.end] += train[None]
+                    lat.expected(_log(p), np.array([1.0]), uses)
+                uses[v.stop] += 1
         p = uses / uses.sum()
     lattice = {}
     for w in {w for _, t, _ in data for w in toks(t)}:
-        lattice[w] = next(lat.forward(_log(p))[0, -1] for _, lat in lattices(v, [w])) / math.log(10)
+        spelt = math.exp(next(lat.forward(_log(p))[0, -1] for _, lat in lattices(v, [w]))) * p[v.stop]
+        lattice[w] = math.log10((train.get(w, 0) + vocab * spelt) / (n + vocab)) if spelt or w in train else None
+    end = math.log10((train[None] + vocab * p[v.stop]) / (n + vocab))
     want = []
     for i, t, _ in data:
         ts = [*toks(t), None]
         base = sum(math.log10((train.get(w, 0) + 0.5) / (n + 0.5 * (vocab + 1))) for w in ts)
-        want.append((-1 if i is None else i, held(i), len(ts), sum(w in train for w in ts), n, base, sum(lattice[w] for w in ts[:-1]) + math.log10(p[v.end])))
+        want.append((-1 if i is None else i, held(i), len(ts), sum(w in train for w in ts), n, base, sum(lattice[w] for w in ts[:-1]) + end))
     got = sorted((-1 if r["id"] is None else r["id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
     for g, w in zip(got, sorted(want), strict=True):
         assert g[:5] == w[:5]
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+def test_long_word(spark):
+    df = spark.createDataFrame([(1, "x" * 30_000), (2, "ab")], "doc_id long, text string")
+    got = {r["id"]: r["score"] for r in score_documents(spark, df, small(), F.col("doc_id") == 1).collect()}
+    assert -1e6 < got[1] < -1e4 < got[2] < 0
+
+
 def test_no_rows_and_no_training(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert score_documents(spark, df, small(), F.lit(False)).collect() == []
