@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, shared_dir
+from .linededup import dedup_lines
 from .lm import load_vocabulary, score_documents
 from .mixing import mix_copies
 from .packing import pack_documents
@@ -45,6 +46,11 @@ def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op8_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = dedup_lines(spark, read_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "text", "lines_removed")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex[:12]}"
     write_tokens(spark, read_table(spark, sf_dir, "documents"), folder, default_tokenizer())
@@ -58,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lattice_lm": op4_lattice_lm,
         "op5_entropy_mixing": op5_entropy_mixing,
         "op6_simhash_bktree": op6_simhash_bktree,
+        "op8_line_suffix_array": op8_line_suffix_array,
         "op10_token_output": op10_token_output,
     }
 
