@@ -8,6 +8,7 @@ its words' ids in a row. Each Python worker keeps the ids of words it has met.
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
@@ -18,20 +19,47 @@ _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _CACHES: dict[str, WordIds] = {}
 
 
+def _plain(part: bytes) -> bool:
+    """Lower-case letters of the older scripts alone, already composed."""
+    if part.isascii():
+        return part.isalpha() and part.islower()
+    s = part.decode("utf-8", "replace")
+    return s.isalpha() and max(s) < "\u2000" and s == s.lower() and unicodedata.is_normalized("NFC", s)
+
+
 class WordIds:
     """Ids of words and texts for one tokenizer file; ``limit`` bounds the words kept in memory."""
 
     def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # for words of lower-case letters alone, the normalizer and the pre-tokenizer's pattern do nothing
+        self.lean = Tokenizer(self.tok.model)
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.tok.model.end_of_word_suffix
+        self.closes = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a word
+        if suffix:
+            self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.limit, self.words, self.parts = limit, {}, {}
 
     def _encode(self, parts: list[bytes]) -> None:
-        found = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
-        self.parts.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(parts, found, strict=True))
+        plain, rest = [], []
+        for p in parts:
+            (plain if _plain(p) and self.closes.any() else rest).append(p)
+        if plain:
+            ids = np.array(self.lean.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(plain):
+                raw, cuts = ids.tobytes(), [0, *(ends * self.dtype.itemsize).tolist()]
+                self.parts.update(zip(plain, (raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)), strict=True))
+            else:
+                rest += plain
+        if rest:
+            found = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
+            self.parts.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(rest, found, strict=True))
 
     def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
         if len(self.words) + len(missing) > self.limit:
