@@ -143,8 +143,8 @@ def round_rates(size: np.ndarray, rate: np.ndarray, target: float, cap: int) ->
 def mix_copies(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, shard_rows: int = 20_000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Copies of each document that mix the sources to target weights.
 
-    Returns (id, size, source, source_size, target, copies, taken), one row for
-    each input row: sizes in words, ``copies`` from 0 to ``cap``. Sources take the
+    Returns (id, tie, size, source, source_size, target, copies, taken), one row for
+    each input row (``tie``: xxhash64 of source and text): sizes in words, ``copies`` from 0 to ``cap``. Sources take the
     weights in code-point order, repeated, null last; targets above ``cap`` times
     a source's size are cut and the rest reshared. Documents are rounded in shards
     by a hash of id and text, so reruns agree and a large source is many tasks.
@@ -152,7 +152,7 @@ def mix_copies(spark: SparkSession, docs: DataFrame, weights: Sequence[float] =
     sources is a bounded dimension that the driver holds.
     """
     scratch = Scratch(spark, "mixing")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(id_col, text_col).alias("tie"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(source_col, text_col).alias("tie"))
     rows = scratch.table(rows, "sizes")
     by = {r["source"]: r for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     names = code_point_order(list(by))
@@ -182,9 +182,22 @@ def mix_copies(spark: SparkSession, docs: DataFrame, weights: Sequence[float] =
             # a shard owes its own rates' tokens; only a source in one shard can aim at the target itself
             aim = shared[k[a]] if wanted[k[a]] == 1 else float((size[a:b] * rate).sum())
             copies[a:b] = round_rates(size[a:b], rate, aim, cap)
-        out = got.select(["id", "k", "size"]).append_column("copies", pa.array(copies.astype(np.int32)))
+        out = got.select(["id", "tie", "k", "size"]).append_column("copies", pa.array(copies.astype(np.int32)))
         yield from out.combine_chunks().to_batches(max_chunksize=16384)
 
-    dealt = keyed.withColumn("shard", F.pmod(F.xxhash64("tie", F.lit(5)), F.col("shards")).cast("int")).select("id", "k", "shard", "size", "tie").repartition("k", "shard")
-    taken = dealt.mapInArrow(run, "id long, k int, size long, copies int")
-    return taken.join(plan, "k").select("id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    dealt = keyed.withColumn("shard", F.pmod(F.xxhash64("id", "tie", F.lit(5)), F.col("shards")).cast("int")).select("id", "k", "shard", "size", "tie").repartition("k", "shard")
+    taken = dealt.mapInArrow(run, "id long, tie long, k int, size long, copies int")
+    return taken.join(plan, "k").select("id", "tie", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply_mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with each row as often as ``mix_copies`` takes it; rows that repeat in full share their copies."""
+    copies = mix_copies(spark, docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+    one = copies.groupBy("id", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).toDF("_cf_cid", "_cf_ctie", "_cf_copies", "_cf_rows")
+    one = Scratch(spark, "mixed").table(one.where("_cf_copies > 0"), "copies")
+    rows = docs.withColumn("_cf_id", F.col(id_col).cast("long")).withColumn("_cf_tie", F.xxhash64(source_col, text_col))
+    rows = rows.join(one, F.col("_cf_id").eqNullSafe(F.col("_cf_cid")) & (F.col("_cf_tie") == F.col("_cf_ctie")))
+    if one.where("_cf_rows > 1").limit(1).count():
+        # of rows that repeat in full, the first by an arbitrary but complete order takes all copies
+        rows = rows.dropDuplicates(["_cf_id", "_cf_tie"])
+    return rows.withColumn("_cf_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_cf_copies")))).select(*docs.columns)

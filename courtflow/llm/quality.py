@@ -152,6 +152,35 @@ def moments(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[:, 0], out[:, 1 : 1 + d], out[:, 1 + d :].reshape(2, d, d)
 
 
+def fit_quality(stats: DataFrame, labels: DataFrame, train_if: Column, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:
+    """The discriminant of all rows of ``stats`` whose id has a label of 0 or 1 and ``train_if`` (over ``id``)."""
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    known = known.where("id is not null and label in (0, 1)").where(train_if).distinct()
+    # one text for each labelled id, so that repeated rows don't weigh more
+    return fit(*moments(stats.join(known, "id").dropDuplicates(["id", "label"])))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_if: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``threshold`` or more; see ``score_quality``.
+
+    The second pass scores texts where they lie, so no text is shuffled.
+    """
+    scratch = Scratch(spark, "quality")
+    stats = scratch.table(features(docs, id_col, text_col), "features")
+    model = spark.sparkContext.broadcast(fit_quality(stats, labels, F.lit(True) if train_if is None else train_if, id_col, label_col))
+    scratch.drop(stats)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                x = np.array([statistics(t if t is None else t.encode()) for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(model.value.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_quality(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, train_if: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> DataFrame:
@@ -165,11 +194,7 @@ def score_quality(
     """
     scratch = Scratch(spark, "quality")
     stats = scratch.table(features(docs, id_col, text_col), "features")
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    known = known.where("id is not null and label in (0, 1)").where(train_if).distinct()
-    # one text for each labelled id, so that repeated rows don't weigh more
-    n, s, ss = moments(stats.join(known, "id").dropDuplicates(["id", "label"]))
-    model = spark.sparkContext.broadcast(fit(n, s, ss))
+    model = spark.sparkContext.broadcast(fit_quality(stats, labels, train_if, id_col, label_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -57,8 +57,15 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder, digest_only=True).withColumnRenamed("id", "doc_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op2_quality_qda": op2_quality_qda,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_lattice_lm": op4_lattice_lm,

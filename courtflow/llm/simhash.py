@@ -29,25 +29,31 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _HASH_ROWS = 1 << 16
 
 
-def fingerprint(body: bytes | None, shingle: int = 4, seed: int = 42) -> int:
-    """The signed 64-bit SimHash of a text: a bit is 1 if set in over half of its shingles' XXH64."""
+def fingerprint_bytes(body: bytes | None, shingle: int = 4, bits: int = 64, seed: int = 42) -> bytes:
+    """The SimHash of a text: a bit is 1 if set in over half of its shingles' XXH64 (or 128-bit XXH3)."""
+    digest = {64: xxhash.xxh64_digest, 128: xxhash.xxh3_128_digest}[bits]
     words = words_of(body)
     if not words:
-        return 0
+        return bytes(bits // 8)
     if len(words) < shingle:
         shingles = iter([b" ".join(words)])
         n = 1
     else:
         n = len(words) - shingle + 1
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros(bits, np.int64)
     left = n
     while left:
         take = min(left, _HASH_ROWS)
-        raw = b"".join(map(xxhash.xxh64_digest, (next(shingles) for _ in range(take)), repeat(seed)))
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        raw = b"".join(map(digest, (next(shingles) for _ in range(take)), repeat(seed)))
+        counts += np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, bits).sum(0, dtype=np.int64)
         left -= take
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
+    return np.packbits(counts * 2 > n).tobytes()
+
+
+def fingerprint(body: bytes | None, shingle: int = 4) -> int:
+    """The 64-bit SimHash as a signed number."""
+    return int.from_bytes(fingerprint_bytes(body, shingle), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,8 +73,14 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return with_bytes(docs, id_col, text_col).withColumn("id", F.col("id").cast("long")).mapInArrow(run, "id long, fp long")
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints whose last axis holds their 64-bit words."""
+    d = np.bitwise_count(a ^ b)
+    return d[..., 0] if d.shape[-1] == 1 else d.sum(-1, dtype=np.uint16)
+
+
 class BKTree:
-    """A BK-tree over 64-bit fingerprints: children are keyed by their Hamming distance to the parent.
+    """A BK-tree over (n, words) fingerprints: children are keyed by their Hamming distance to the parent.
 
     Nodes of at most ``leaf`` entries are kept flat. A search takes all queries
     at once and follows, from each node, only the edges within the radius.
@@ -88,7 +100,7 @@ class BKTree:
                 continue
             pivot, rest = int(idx[0]), idx[1:]
             self.nodes.append((pivot, {}))
-            d = np.bitwise_count(fps[rest] ^ fps[pivot])
+            d = distance(fps[rest], fps[pivot])
             todo += [(rest[d == k], me, int(k)) for k in np.unique(d)]
 
     def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -98,11 +110,11 @@ class BKTree:
             node, q = todo.pop()
             pivot, below = self.nodes[node]
             if pivot is None:
-                d = np.bitwise_count(queries[q][:, None] ^ self.fps[below][None, :]) <= radius
+                d = distance(queries[q][:, None], self.fps[below][None, :]) <= radius
                 for j in np.flatnonzero(d.sum(0) > 0):
                     yield int(below[j]), q[d[:, j]]
                 continue
-            d = np.bitwise_count(queries[q] ^ self.fps[pivot]).astype(np.int16)
+            d = distance(queries[q], self.fps[pivot]).astype(np.int16)
             if len(hit := q[d <= radius]):
                 yield pivot, hit
             for k, child in below.items():
@@ -111,13 +123,12 @@ class BKTree:
 
 
 def spanning_links(tree_fps: np.ndarray, query_fps: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the same components as all pairs within the radius; at most one for each fingerprint.
+    """Links, as positions, that span the same components as all pairs within the radius; at most one for each fingerprint.
 
-    ``query_fps`` None searches the tree's own entries.
+    ``query_fps`` None searches the tree's own entries; else they follow the tree's.
     """
     own = query_fps is None
-    allf = tree_fps if own else np.concatenate([tree_fps, query_fps])
-    lab = np.arange(len(allf))
+    lab = np.arange(len(tree_fps) + (0 if own else len(query_fps)))
     shift = 0 if own else len(tree_fps)
     for entry, hits in BKTree(tree_fps).search(tree_fps if own else query_fps, radius):
         if own and len(hits) == 1:
@@ -128,7 +139,7 @@ def spanning_links(tree_fps: np.ndarray, query_fps: np.ndarray | None, radius: i
             labs = np.unique(np.append(labs, mine))
             lab[np.isin(lab, labs)] = labs[0]
     far = np.flatnonzero(lab != np.arange(len(lab)))
-    return allf[far], allf[lab[far]]
+    return far, lab[far]
 
 
 def choose_blocks(n: int, radius: int, per_shard: int = 256) -> int:
@@ -149,30 +160,27 @@ def shards(classes: DataFrame, radius: int, k: int) -> DataFrame:
     return classes.select("fp", F.explode(keys).alias("shard"))
 
 
-def near_links(scratch: Scratch, classes: DataFrame, radius: int = 4, hot: int = 16384) -> DataFrame:
-    """(a, b): links between distinct fingerprints that span all components at ``radius`` bits.
+def shard_links(rows: DataFrame, radius: int, hot: int = 16384) -> DataFrame:
+    """(a, b): links that span the components of (shard, node, fp) rows, by one BK-tree for each shard.
 
-    A shard of over ``hot`` entries is cut into blocks of about that size; each
-    pair of blocks is a task of its own, so no shard is gathered whole.
+    ``fp`` is the node itself (null) or its fingerprint as bytes. A shard of over
+    ``hot`` entries is cut into blocks of about that size; each pair of blocks is
+    a task of its own, so no shard is gathered whole.
     """
-    n = classes.count()
-    k = choose_blocks(n, radius)
-    assert comb(k, radius) < 1000, "radius too large for pigeonhole shards"
-    rows = shards(classes, radius, k)
     big = rows.groupBy("shard").count().where(F.col("count") > hot).select("shard", F.ceil(F.col("count") / hot).alias("cuts"))
-    rows = rows.join(big, "shard", "left").withColumn("cut", F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("cuts", F.lit(1))))
-    rows = rows.select("shard", "fp", "cut", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("cuts", F.lit(1)) - 1)).alias("other"))
-    pair = F.xxhash64("shard", F.least("cut", "other"), F.greatest("cut", "other"))
+    rows = rows.join(big, "shard", "left").withColumn("cut", F.pmod(F.xxhash64("node", F.lit(7)), F.coalesce("cuts", F.lit(1))))
+    rows = rows.select("shard", "node", "fp", "cut", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("cuts", F.lit(1)) - 1)).alias("other"))
+    pair = F.when(F.col("cut") + F.col("other") == 0, F.col("shard")).otherwise(F.xxhash64("shard", F.least("cut", "other"), F.greatest("cut", "other")))
     side = F.when(F.col("cut") == F.col("other"), 0).when(F.col("cut") < F.col("other"), 1).otherwise(2)
-    rows = rows.select(pair.alias("shard"), "fp", side.cast("byte").alias("side")).repartition("shard")
+    rows = rows.select(pair.alias("shard"), "node", "fp", side.cast("byte").alias("side")).repartition("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("shard").to_numpy(), b.column("fp").to_numpy(), b.column("side").to_numpy()) for b in batches]
+        got = [(b.column("shard").to_numpy(), b.column("node").to_numpy(), _words(b.column("fp"), b.column("node")), b.column("side").to_numpy()) for b in batches if b.num_rows]
         if not got:
             return
-        shard, fp, side = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((fp, side, shard))
-        shard, fp, side = shard[order], fp[order].view(np.uint64), side[order]
+        shard, node, fp, side = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((node, side, shard))
+        shard, node, fp, side = shard[order], node[order], fp[order], side[order]
         cuts = np.flatnonzero(np.diff(shard)) + 1
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(shard)), strict=True):
@@ -181,14 +189,93 @@ def near_links(scratch: Scratch, classes: DataFrame, radius: int = 4, hot: int =
             f, s = fp[lo:hi], side[lo:hi]
             a, b = spanning_links(f, None, radius) if s[0] == 0 else spanning_links(f[s == 1], f[s == 2], radius)
             if len(a):
-                out.append((a, b))
+                out.append((node[lo:hi][a], node[lo:hi][b]))
         if out:
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             yield batch(_LINK, a=a, b=b)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _words(fp: pa.Array, node: pa.Array) -> np.ndarray:
+    """(n, words) from fingerprints' bytes, or from 64-bit nodes."""
+    if fp.null_count:
+        return node.to_numpy().view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(len(fp), -1).astype(np.uint64)
+
+
+def near_links(classes: DataFrame, radius: int = 4, hot: int = 16384) -> DataFrame:
+    """(a, b): links between distinct 64-bit fingerprints that span all components at ``radius`` bits."""
+    k = choose_blocks(classes.count(), radius)
+    if comb(k, radius) >= 1000:
+        raise ValueError(f"a radius of {radius} is too large for pigeonhole shards")
+    rows = shards(classes, radius, k).select("shard", F.col("fp").alias("node"), F.lit(None).cast("binary").alias("fp"))
+    return shard_links(rows, radius, hot)
+
+
+def similar_radius(similarity: float, bits: int, spread: float = 2.0) -> int:
+    """Differing bits that pairs of this Jaccard similarity stay within: the mean and ``spread`` standard deviations.
+
+    Shingle vectors of Jaccard similarity J have a cosine of about 2J/(1+J), and
+    each bit differs with the angle's share of a half turn.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + spread * np.sqrt(bits * p * (1 - p)))
+
+
+def sampled_shards(classes: DataFrame, bits: int, differ: float, n: int, per_shard: int = 64, miss: float = 0.02) -> DataFrame:
+    """(shard, node, fp): a shard for each of ``tables`` fixed choices of bits, wide enough for small shards.
+
+    Pairs whose bits differ at the rate ``differ`` share no shard with probability
+    ``miss`` at most; closer pairs, far less.
+    """
+    width = int(np.clip(np.ceil(np.log2(max(n, 2) / per_shard)), 4, 28))
+    tables = int(np.ceil(np.log(miss) / np.log1p(-((1 - differ) ** width))))
+    rng = np.random.default_rng(20)
+    picks = [rng.choice(bits, width, replace=False) for _ in range(tables)]
+    schema = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("fp", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            bit = np.unpackbits(raw, axis=1).astype(np.int64)
+            for t, p in enumerate(picks):
+                key = bit[:, p] @ (1 << np.arange(width)) + (t << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("node"), b.column("fp")], schema=schema)
+
+    return classes.select("node", "fp").mapInArrow(run, "shard long, node long, fp binary")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents whose word shingles have about the given Jaccard similarity or more.
+
+    Wider fingerprints than 64 bits keep a radius that reaches ``similarity``
+    far from what unrelated texts differ by. Returns (id, tie, copies, keep) for
+    each distinct (id, text), ``tie`` being xxhash64 of the text: keep is true for
+    the smallest of each group. Exact copies share a fingerprint and fold first.
+    """
+    scratch = Scratch(spark, "near")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [fingerprint_bytes(body, shingle, bits) for (body,) in rows_of([b], "body")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tie"), pa.array(fps, pa.binary())], names=["id", "tie", "fp"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("binary").alias("body"))
+    prints = scratch.table(rows.mapInArrow(run, "id long, tie long, fp binary").groupBy("id", "tie", "fp").agg(F.count("*").alias("copies")).withColumn("node", F.xxhash64("fp")), "prints")
+    classes = scratch.table(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("rep")), "classes")
+    radius = similar_radius(similarity, bits)
+    links = shard_links(sampled_shards(classes, bits, similar_radius(similarity, bits, 0) / bits, classes.count()), radius)
+    roots = components(scratch, links)
+    rooted = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "rep")
+    best = rooted.groupBy("root").agg(F.min("rep").alias("rep")).select("rep.id", "rep.tie")
+    best = scratch.table(best.withColumn("kept", F.lit(True)).toDF("b_id", "b_tie", "kept"), "best")
+    joined = prints.join(best, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("tie") == F.col("b_tie")), "left")
+    return joined.select("id", "tie", "copies", F.coalesce("kept", F.lit(False)).alias("keep"))
+
+
 def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate components of documents.
 
@@ -201,7 +288,7 @@ def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = 4, r
     scratch = Scratch(spark, "simhash")
     prints = scratch.table(fingerprints(docs, shingle, id_col, text_col), "prints")
     classes = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    roots = components(scratch, near_links(scratch, classes.select("fp"), radius))
+    roots = components(scratch, near_links(classes.select("fp"), radius))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_fp = scratch.table(rooted.join(least, "root").select("fp", "component_id"), "by-fp")

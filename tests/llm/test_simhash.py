@@ -61,6 +61,7 @@ def test_tree_finds_every_pair(leaf):
     f = g.integers(0, 2**63, 300).astype(np.uint64)
     f = np.unique(np.concatenate([f, f[:90] ^ np.uint64(5), f[:90] ^ np.uint64(1 << 40)]))
     want = {(i, j) for i in range(len(f)) for j in range(len(f)) if int(f[i] ^ f[j]).bit_count() <= 4}
+    f = f[:, None]
     got = {(e, int(q)) for e, qs in BKTree(f, leaf).search(f, 4) for q in qs}
     assert got == want
 
@@ -68,7 +69,7 @@ def test_tree_finds_every_pair(leaf):
 def test_spanning_links_of_dense_shard():
     g = np.random.default_rng(2)
     f = np.unique(np.bitwise_or.reduce(np.uint64(1) << g.integers(0, 40, (400, 5)).astype(np.uint64), axis=1))
-    half = len(f) // 2
+    half, f = len(f) // 2, f[:, None]
     for a, b in (spanning_links(f, None, 4), spanning_links(f[:half], f[half:], 4)):
         assert len(a) <= len(f)
         assert all(x != y for x, y in zip(a, b, strict=True))
@@ -91,7 +92,7 @@ def test_hot_shards_are_cut(spark):
     fps = sorted({sum(1 << r.randrange(30) for _ in range(3)) for _ in range(300)})
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     s = Scratch(spark, "t")
-    roots = {x["node"]: x["root"] for x in components(s, near_links(s, df, 4, hot=40)).collect()}
+    roots = {x["node"]: x["root"] for x in components(s, near_links(df, 4, hot=40)).collect()}
     want = slow_components([(f, f) for f in fps])
     by = {}
     for f in fps:
@@ -109,3 +110,29 @@ def test_components_of_chain_and_hub(spark):
     s = Scratch(spark, "t")
     got = {r["node"]: r["root"] for r in components(s, spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 51)} | {j: 100 for j in range(101, 180)}
+
+
+def test_near_duplicates_keep_one_of_each_group(spark):
+    from courtflow.llm.simhash import near_duplicates
+
+    r = random.Random(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    rows, groups = [], []
+    for g in range(40):
+        base = [r.choice(vocab) for _ in range(r.choice([120, 400]))]
+        ids = []
+        for c in range(r.choice([1, 1, 2, 6])):
+            copy = list(base)
+            if c:
+                copy[r.randrange(len(copy))] = r.choice(vocab)
+            ids.append(len(rows))
+            rows.append((len(rows), " ".join(copy), g))
+        groups.append(ids)
+    n = len(rows)
+    rows += [rows[0], (n, None, 0), (n + 1, "", 0), (None, "  ", 0), (n + 2, "word " * 40_000, 0)]
+    groups += [[n, n + 1], [n + 2]]
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, node int").repartition(4)).collect()
+    assert sum(x["copies"] for x in got) == len(rows)
+    kept = {x["id"] for x in got if x["keep"]}
+    assert kept == {min(g) for g in groups}
+    assert near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
