@@ -140,7 +140,7 @@ def round_rates(size: np.ndarray, rate: np.ndarray, target: float, cap: int) ->
     return copies
 
 
-def mix_copies(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, shard_rows: int = 20_000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix_copies(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, shard_rows: int = 5_000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Copies of each document that mix the sources to target weights.
 
     Returns (id, tie, size, source, source_size, target, copies, taken), one row for

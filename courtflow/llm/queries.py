@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
 from .common import read_table, shared_dir
 from .linededup import dedup_lines
 from .lm import load_vocabulary, score_documents
 from .mixing import mix_copies
+from .nndescent import near_duplicates
 from .packing import pack_documents
 from .quality import score_quality
 from .simhash import hex_fingerprint, simhash_components
@@ -19,6 +21,10 @@ from .tokenio import read_tokens, write_tokens
 from .tokens import default_pieces, default_tokenizer
 
 
+def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark, read_table(spark, sf_dir, "embeddings"), k=20, query_every=20)[0]
+
+
 def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 5 == 0, F.lit(False))
     got = score_quality(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out("id"))
@@ -51,6 +57,10 @@ def op8_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "text", "lines_removed")
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, read_table(spark, sf_dir, "embeddings"))[0].withColumnRenamed("id", "vec_id")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex[:12]}"
     write_tokens(spark, read_table(spark, sf_dir, "documents"), folder, default_tokenizer())
@@ -66,12 +76,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": pipeline,
+        "op1_kmeans_tree": op1_kmeans_tree,
         "op2_quality_qda": op2_quality_qda,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_lattice_lm": op4_lattice_lm,
         "op5_entropy_mixing": op5_entropy_mixing,
         "op6_simhash_bktree": op6_simhash_bktree,
         "op8_line_suffix_array": op8_line_suffix_array,
+        "op9_nn_descent": op9_nn_descent,
         "op10_token_output": op10_token_output,
     }
 
