@@ -145,7 +145,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = 50, id_co
     scratch = Scratch(spark, "lines")
     table = scratch.table(line_table(docs, min_words, id_col, text_col), "lines")
     runs = scratch.table(repeated_runs(spark, scratch, table), "runs").toDF("_cf_rid", "_cf_rtie", "_cf_runs")
-    joined = keyed(docs, id_col, text_col).join(runs, F.col("_cf_id").eqNullSafe(F.col("_cf_rid")) & (F.col("_cf_tie") == F.col("_cf_rtie")), "left")
+    # merged at every size: texts are shuffled once, whatever the runs' size
+    joined = keyed(docs, id_col, text_col).join(runs.hint("merge"), F.col("_cf_id").eqNullSafe(F.col("_cf_rid")) & (F.col("_cf_tie") == F.col("_cf_rtie")), "left")
     lines = F.split(F.col(text_col), "\n")
     gone = lambda i: F.exists("_cf_runs", lambda r: (i >= r["at"]) & (i < r["at"] + r["len"]))
     hit = F.col("_cf_runs").isNotNull()

@@ -196,7 +196,7 @@ def apply_mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", sour
     one = copies.groupBy("id", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).toDF("_cf_cid", "_cf_ctie", "_cf_copies", "_cf_rows")
     one = Scratch(spark, "mixed").table(one.where("_cf_copies > 0"), "copies")
     rows = docs.withColumn("_cf_id", F.col(id_col).cast("long")).withColumn("_cf_tie", F.xxhash64(source_col, text_col))
-    rows = rows.join(one, F.col("_cf_id").eqNullSafe(F.col("_cf_cid")) & (F.col("_cf_tie") == F.col("_cf_ctie")))
+    rows = rows.join(one.hint("merge"), F.col("_cf_id").eqNullSafe(F.col("_cf_cid")) & (F.col("_cf_tie") == F.col("_cf_ctie")))
     if one.where("_cf_rows > 1").limit(1).count():
         # of rows that repeat in full, the first by an arbitrary but complete order takes all copies
         rows = rows.dropDuplicates(["_cf_id", "_cf_tie"])
