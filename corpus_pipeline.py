@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = Scratch(spark, "groups").table(near_duplicates(spark, docs).toDF("_cf_gid", "_cf_gtie", "_cf_copies", "_cf_keep"), "groups")
     key = F.col("_cf_id").eqNullSafe(F.col("_cf_gid")) & (F.col("_cf_tie") == F.col("_cf_gtie"))
     rows = docs.withColumn("_cf_id", F.col("doc_id").cast("long")).withColumn("_cf_tie", F.xxhash64("text"))
-    rows = rows.join(groups.where("_cf_keep"), key, "left_semi")
+    rows = rows.join(groups.where("_cf_keep").hint("merge"), key, "left_semi")
     if groups.where("_cf_keep and _cf_copies > 1").limit(1).count():  # rows that repeat id and text
         rows = rows.dropDuplicates(["_cf_id", "_cf_tie"])
     return rows.select(*docs.columns)
