@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .ann import search
 from .common import read_table, shared_dir
+from .licenses import oracle as license_sql
+from .licenses import scan
 from .linededup import dedup_lines
 from .lm import load_vocabulary, score_documents
 from .mixing import mix_copies
@@ -52,6 +54,11 @@ def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op7_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = scan(spark, read_table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "license", "matched", "containment")
+
+
 def op8_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = dedup_lines(spark, read_table(spark, sf_dir, "documents"))
     return got.select("doc_id", "text", "lines_removed")
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lattice_lm": op4_lattice_lm,
         "op5_entropy_mixing": op5_entropy_mixing,
         "op6_simhash_bktree": op6_simhash_bktree,
+        "op7_license_minhash": op7_license_minhash,
         "op8_line_suffix_array": op8_line_suffix_array,
         "op9_nn_descent": op9_nn_descent,
         "op10_token_output": op10_token_output,
@@ -89,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_license_minhash": license_sql()}
