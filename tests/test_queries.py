@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from courtflow.plans import more  # noqa: F401 - adds its queries
 from courtflow.plans.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
