@@ -99,7 +99,7 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
 
     Returns (node, root): one row for each node that is not the smallest of its
     component; the smallest is the root. Minima are aggregated before the shuffle
-    and joined back, so a hub is never gathered in one task.
+    and written before they are joined back, so that the join can split a hub.
     """
 
     def sizes(t: DataFrame) -> tuple:
@@ -112,14 +112,14 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
         if not seen[0]:
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.table(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
         now = sizes(new)
-        scratch.drop(cur, large)
+        scratch.drop(cur, large, least, low)
         cur = new
         if now == seen:
             break

@@ -103,7 +103,8 @@ def repeated_runs(spark: SparkSession, scratch: Scratch, table: DataFrame) -> Da
     begin = scratch.table(starts(scratch, table), "begin")
     placed = scratch.table(same_doc(table, begin), "placed")
     rows = placed.select("start", (F.col("start") + F.size("lines")).alias("end"), F.posexplode("lines").alias("i", "line")).select((F.col("start") + F.col("i")).alias("pos"), "end", "line")
-    first = rows.groupBy("line").agg(F.min("pos").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that the join has a shuffle of its own on either side and a line of very many copies can be split
+    first = scratch.table(rows.groupBy("line").agg(F.min("pos").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     named = scratch.table(rows.join(first, "line").select("pos", "end", "name"), "names")
     tests = placed.select("start", F.explode(F.arrays_zip("at", "len")).alias("w")).select("start", (F.col("start") + F.col("w.at")).alias("pos"), F.col("w.len").alias("len"))
     tests = scratch.table(tests.join(named.select("pos"), "pos"), "tests")  # a run whose first line is alone is alone
@@ -118,13 +119,13 @@ def repeated_runs(spark: SparkSession, scratch: Scratch, table: DataFrame) -> Da
         else:
             got = now.join(a, "pos").withColumn("tail", F.col("pos") + F.col("len") - span).join(b, "tail")
             least = got.groupBy("len", "a", "b").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1")
-            got = got.join(least.drop("n"), ["len", "a", "b"]).where("first < pos")
+            got = got.join(scratch.table(least.drop("n"), "least"), ["len", "a", "b"]).where("first < pos")
         got = got.select("start", (F.col("pos") - F.col("start")).cast("int").alias("at"), "len")
         found = got if found is None else found.unionByName(got)
         if 2 * span > longest:
             break
         pairs = named.where(F.col("pos") + 2 * span <= F.col("end")).select("pos", "end", F.col("name").alias("a"), (F.col("pos") + span).alias("tail")).join(b, "tail")
-        first = pairs.groupBy("a", "b").agg(F.min("pos").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
+        first = scratch.table(pairs.groupBy("a", "b").agg(F.min("pos").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
         named = scratch.table(pairs.join(first, ["a", "b"]).select("pos", "end", "name"), f"names-{2 * span}")
         span *= 2
     if found is None:
