@@ -163,3 +163,26 @@ def without_contacts(bounces_: DataFrame, contacts_: DataFrame, within_ms: float
     """Bounces that have no contact strictly within ``within_ms``; those without a time stay."""
     c = contacts_.select(F.col("match_id").alias("m"), F.col("timestamp_ms").alias("c_ms"))
     return bounces_.join(c, (F.col("match_id") == F.col("m")) & (F.abs(F.col("timestamp_ms") - F.col("c_ms")) < within_ms), "left_anti")
+
+
+def velocity_around(ball: DataFrame, reach: int = 3) -> DataFrame:
+    """Displacement between the first and last known place of the ``reach`` frames before, and after, each frame; 0 under two."""
+    rows = indexed(ball)
+    known = (F.col("visibility") != "inferred") & F.col("x").isNotNull()
+    rows = rows.withColumn("p", F.when(known, F.struct("x", "y")))
+    out = ["match_id", "frame_id"]
+    for name, lo, hi in (("before", -reach, -1), ("after", 1, reach)):
+        w = in_match("idx").rowsBetween(lo, hi)
+        a, b = F.first("p", ignorenulls=True).over(w), F.last("p", ignorenulls=True).over(w)
+        n = F.count("p").over(w)
+        rows = rows.withColumn(f"vx_{name}", F.when(n >= 2, b["x"] - a["x"]).otherwise(0.0)).withColumn(f"vy_{name}", F.when(n >= 2, b["y"] - a["y"]).otherwise(0.0))
+        out += [f"vx_{name}", f"vy_{name}"]
+    return rows.select(*out)
+
+
+def moving_average(rows: DataFrame, column: str, window: int = 5) -> DataFrame:
+    """Centered mean over ``window`` rows; the ends stay as they are."""
+    half = window // 2
+    w = in_match("frame_id").rowsBetween(-half, half)
+    full = F.count("*").over(w) == 2 * half + 1
+    return rows.withColumn(column, F.when(full, F.avg(column).over(w)).otherwise(F.col(column)))

@@ -65,3 +65,22 @@ def mlp_probabilities(features: DataFrame, layers: list[tuple[np.ndarray, np.nda
             yield pd.DataFrame({"match_id": b["match_id"], "frame_id": b["frame_id"], **{f"p{i}": p[:, i] for i in range(4)}})
 
     return features.mapInPandas(run, "match_id long, frame_id long, p0 double, p1 double, p2 double, p3 double")
+
+
+def detect_events(probabilities: DataFrame, least: float = 0.5, apart: int = 8) -> DataFrame:
+    """(match_id, frame_id, kind): bounces and hits of probability above ``least``, each kept ``apart`` frames from the last."""
+    from ..functions.sequence import suppress
+
+    pick = lambda p, kind: suppress(probabilities.where(F.col(p) > least).select("match_id", "frame_id"), "frame_id", apart).withColumn("kind", F.lit(kind))
+    return pick("p1", "bounce").unionByName(pick("p2", "hit"))
+
+
+def class_accuracy(predictions: DataFrame) -> DataFrame:
+    """(label, n, accuracy) of rows (label, pred)."""
+    return predictions.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"))
+
+
+def split(rows: DataFrame, key: str, share: float = 0.15, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, validation) by a hash of the key: the same rows fall on the same side in every run."""
+    part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+    return rows.where(~part), rows.where(part)

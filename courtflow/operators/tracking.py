@@ -145,3 +145,17 @@ def fit_homography(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, float]
     return h, float(np.sqrt((((at[:, :2] / at[:, 2:]) - dst) ** 2).sum(1).mean()))
 
 
+
+
+def best_ball(detections: DataFrame, kind: int = 32) -> DataFrame:
+    """The ball detection with the highest confidence of each frame."""
+    best = detections.where(F.col("class_id") == kind).groupBy("match_id", "frame_id").agg(F.max(F.struct("confidence", F.negative("ord").alias("less"), "bbox")).alias("b"))
+    return best.select("match_id", "frame_id", F.col("b.confidence").alias("confidence"), F.col("b.bbox").alias("bbox"))
+
+
+def warm_up(features: DataFrame, frames: int = 10, least: int = 2) -> DataFrame:
+    """Adds ready: from the frame on in which the ``frames``-th frame with ``least`` usable crops was seen."""
+    per = features.groupBy("match_id", "frame_id").agg((F.count_if(F.col("vec").isNotNull()) >= least).cast("int").alias("ok"))
+    w = Window.partitionBy("match_id").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.select("match_id", "frame_id", (F.sum("ok").over(w) >= frames).alias("ready"))
+    return features.join(per, ["match_id", "frame_id"])

@@ -117,3 +117,56 @@ def _(s, d):
 @query("bounce_count_by_match", "bnc", "select match_id, count(*) as n, count(*) filter (type = 'ground') as ground from bnc group by match_id")
 def _(s, d):
     return E.bounces(A.ball_frames(s, d)).groupBy("match_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == "ground").alias("ground"))
+
+
+@query("velocity_around", "idx", "select match_id, frame_id, coalesce(case when nb >= 2 then list_last(xb) - list_first(xb) end, 0) as vx_before, coalesce(case when nb >= 2 then list_last(yb) - list_first(yb) end, 0) as vy_before, coalesce(case when na >= 2 then list_last(xa) - list_first(xa) end, 0) as vx_after, coalesce(case when na >= 2 then list_last(ya) - list_first(ya) end, 0) as vy_after from (select match_id, frame_id, count(kx) over b as nb, list(kx) filter (kx is not null) over b as xb, list(ky) filter (kx is not null) over b as yb, count(kx) over a as na, list(kx) filter (kx is not null) over a as xa, list(ky) filter (kx is not null) over a as ya from (select *, case when vis <> 'inferred' then x end as kx, case when vis <> 'inferred' then y end as ky from idx) window b as (partition by match_id order by idx rows between 3 preceding and 1 preceding), a as (partition by match_id order by idx rows between 1 following and 3 following))")
+def _(s, d):
+    return E.velocity_around(A.ball_frames(s, d))
+
+
+@query("moving_average", "seen", "select match_id, frame_id, round(case when count(*) over w = 5 then avg(x) over w else x end, 6) as x from seen window w as (partition by match_id order by frame_id rows between 2 preceding and 2 following)")
+def _(s, d):
+    b = E.visible_ball(A.ball_frames(s, d)).select("match_id", "frame_id", F.col("position.x").alias("x"))
+    return E.moving_average(b, "x").select("match_id", "frame_id", r("x"))
+
+
+@query("best_ball_detection", "ev", "select match_id, frame_id, cast(greatest(k, case when k % 3 = 0 then 70 else 0 end) as double) / 100 as confidence from ev")
+def _(s, d):
+    from ..operators import tracking as T
+
+    box = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(1.0).alias("x2"), F.lit(1.0).alias("y2"))
+    e = A.events(s, d)
+    row = lambda df, o, c, kind: df.select("match_id", "frame_id", F.lit(o).alias("ord"), (c / 100.0).alias("confidence"), F.lit(kind).alias("class_id"), box.alias("bbox"))
+    found = row(e, 1, F.col("k"), 32).unionByName(row(e.where("k % 3 = 0"), 2, F.lit(70), 32)).unionByName(row(e, 3, F.lit(99), 0))
+    return T.best_ball(found).select("match_id", "frame_id", "confidence")
+
+
+@query("class_accuracy", "ev", "select k % 4 as label, count(*) as n, round(avg(case when k % 4 = (k * 3) % 4 then 1.0 else 0.0 end), 6) as accuracy from ev group by 1")
+def _(s, d):
+    from ..operators.features import class_accuracy
+
+    p = A.events(s, d).select((F.col("k") % 4).alias("label"), ((F.col("k") * 3) % 4).alias("pred"))
+    return class_accuracy(p).withColumn("accuracy", F.round("accuracy", R))
+
+
+@query("detected_events")
+def _(s, d):
+    from ..operators.features import detect_events
+
+    e = A.events(s, d).select("match_id", "frame_id", (F.col("k") / 100.0).alias("p1"), (1 - F.col("k") / 100.0).alias("p2"))
+    return detect_events(e)
+
+
+@query("team_warm_up", "ev", "select match_id, frame_id, sum(case when k % 2 = 0 then 1 else 0 end) over (partition by match_id order by frame_id) >= 10 as ready from ev")
+def _(s, d):
+    from ..operators import tracking as T
+
+    f = A.events(s, d).select("match_id", "frame_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("ord"), F.when(F.col("k") % 2 == 0, F.array(F.lit(1.0))).alias("vec"))
+    return T.warm_up(f).where("ord = 1").select("match_id", "frame_id", "ready")
+
+
+@query("frame_ids", "players", "select match_id, frame_id from ball where x is not null union select match_id, frame_id from players where x is not null")
+def _(s, d):
+    ball, pl = _all(s, d)
+    place = lambda df: df.where("position is not null").select("match_id", "frame_id")
+    return place(ball).union(place(pl)).distinct()

@@ -100,3 +100,25 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     result = F.coalesce(F.try_element_at("annotations", F.lit(1))["result"], F.try_element_at("completions", F.lit(1))["result"])
     got = tasks.select("id", F.explode(result).alias("r")).where((F.col("r.type") == "keypointlabels") & (F.size("r.value.keypointlabels") >= 1))
     return got.select("id", F.col("r.value.keypointlabels")[0].alias("label"), F.col("r.value.x").alias("x"), F.col("r.value.y").alias("y"))
+
+
+def cached(spark: SparkSession, make, folder: str, settings: dict) -> DataFrame:
+    """The table that ``make()`` gives, written once for each set of settings."""
+    import hashlib
+
+    key = hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:16]
+    path = f"{folder}/{key}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_annotations(points: DataFrame, path: str) -> None:
+    """(id, label, x, y, by_hand) in per cent to one JSON task a line: points within -5..105, clamped and rounded."""
+    p = points.where(F.col("x").between(-5, 105) & F.col("y").between(-5, 105))
+    fit = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(c))), 2).alias(c)
+    value = F.struct(fit("x"), fit("y"), F.array("label").alias("keypointlabels"))
+    seen = F.when(F.col("by_hand"), "visible").otherwise("occluded").alias("visibility")
+    tasks = p.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("label", F.struct(F.lit("keypointlabels").alias("type"), value.alias("value"), seen).alias("r")))).alias("l"))
+    tasks.select("id", F.array(F.struct(F.transform("l", lambda x: x["r"]).alias("result"))).alias("annotations")).write.mode("overwrite").json(path)

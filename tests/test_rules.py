@@ -253,3 +253,21 @@ def test_cli(tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"top_left": [300, 200], "top_right": [700, 200], "bottom_right": [900, 800], "bottom_left": [100, 800]}))
     assert cli.main(["calibrate", f"{tmp_path}/p.json", f"{tmp_path}/out/c.json"]) == 0
     assert json.loads((tmp_path / "out" / "c.json").read_text())["reprojection_error"] < 1e-6
+
+
+def test_cache_and_annotations(spark, tmp_path):
+    from courtflow.operators.features import split
+    from courtflow.sources import files as S
+
+    made = []
+    make = lambda: made.append(1) or spark.range(3).toDF("id")
+    for settings in ({"a": 1}, {"a": 1}, {"a": 2}):
+        assert S.cached(spark, make, f"{tmp_path}/cache", settings).count() == 3
+    assert len(made) == 2
+    rows = [(1, "net_left", 104.0, 50.126, True), (1, "far", 120.0, 0.0, False), (1, "top", -2.0, 10.0, False)]
+    S.write_annotations(spark.createDataFrame(rows, "id long, label string, x double, y double, by_hand boolean"), f"{tmp_path}/ann")
+    (task,) = [json.loads(line) for f in (tmp_path / "ann").glob("*.json") for line in f.read_text().splitlines()]
+    got = [(r["value"]["keypointlabels"][0], r["value"]["x"], r["value"]["y"], r["visibility"]) for r in task["annotations"][0]["result"]]
+    assert got == [("net_left", 100.0, 50.13, "visible"), ("top", 0.0, 10.0, "occluded")]
+    train, val = split(spark.range(2000).toDF("id"), "id")
+    assert train.count() + val.count() == 2000 and 200 < val.count() < 400
