@@ -15,10 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, shuffle_partitions
 
 _HIT = pa.schema([("q", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
@@ -132,30 +133,56 @@ def _top(scores: np.ndarray, firsts: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((firsts[at], -scores[at]))][:k]
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, kind 0 vector or 1 query, id, ids, vec) dealt by cell: each query's best k of its cell's vectors."""
+def _search(batches: Iterator[pa.RecordBatch], k: int, held_hits: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Rows dealt by part: kind 0 has a vector of a cell, 1 a query and the cells of the part that it visits.
+
+    Each query's best k of the part come out, merged over its cells.
+    """
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    t = pa.Table.from_batches(held).combine_chunks().sort_by([("cell", "ascending"), ("kind", "ascending")])
-    cell, kind, ids = (t.column(c).to_numpy() for c in ("cell", "kind", "id"))
-    vec, lists = matrix(t.column("vec").combine_chunks()), t.column("ids").combine_chunks()
-    cuts = np.flatnonzero(np.diff(cell)) + 1
-    for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(cell)).tolist(), strict=True):
+    t = pa.Table.from_batches(held).combine_chunks().sort_by([("part", "ascending"), ("kind", "ascending"), ("cell", "ascending")])
+    part, kind, cell, ids = (t.column(c).to_numpy() for c in ("part", "kind", "cell", "id"))
+    vec, lists, visits = matrix(t.column("vec").combine_chunks()), t.column("ids").combine_chunks(), t.column("cells").combine_chunks()
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(part)).tolist(), strict=True):
         n = lo + int(np.searchsorted(kind[lo:hi], 1))
         if n in (lo, hi):
             continue
-        data, firsts = vec[lo:n], ids[lo:n]
-        for at in range(n, hi, 512):
-            scores = vec[at : min(hi, at + 512)] @ data.T
-            q_out, l_out, s_out = [], [], []
-            for j in range(len(scores)):
-                best = _top(scores[j], firsts, k)
-                q_out += [ids[at + j]] * len(best)
-                l_out.append(best + lo)
-                s_out.append(scores[j][best])
-            pick = np.concatenate(l_out)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(q_out, np.int64)), lists.take(pa.array(pick)), pa.array(np.concatenate(s_out))], schema=_HIT)
+        own = visits.slice(n, hi - n)
+        wanted = np.array(own.flatten(), np.int64)
+        asks = np.repeat(np.arange(n, hi), np.array(pa.compute.list_value_length(own), np.int64))
+        order = np.argsort(wanted, kind="stable")
+        wanted, asks = wanted[order], asks[order]
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+        for c in np.unique(wanted):
+            x, y = lo + np.searchsorted(cell[lo:n], [c, c + 1])
+            mine = asks[slice(*np.searchsorted(wanted, [c, c + 1]))]
+            for at in range(0, len(mine) if y > x else 0, 512):
+                q = mine[at : at + 512]
+                scores = vec[q] @ vec[x:y].T
+                for j, row in enumerate(q):
+                    best = _top(scores[j], ids[x:y], k)
+                    hits.append((np.full(len(best), row), best + x, scores[j][best]))
+                    size += len(best)
+            if size > held_hits:
+                hits = [_best(hits, ids, k)]
+                size = len(hits[0][0])
+        if hits:
+            q, pick, score = _best(hits, ids, k)
+            for at in range(0, len(q), 1 << 14):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[at : at + (1 << 14)]]), lists.take(pa.array(pick[at : at + (1 << 14)])), pa.array(score[at : at + (1 << 14)])], schema=_HIT)
+
+
+def _best(hits: list, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best hits of each query."""
+    q, pick, score = (np.concatenate(x) for x in zip(*hits, strict=True))
+    order = np.lexsort((ids[pick], -score, q))
+    q, pick, score = q[order], pick[order], score[order]
+    start = np.append(True, q[1:] != q[:-1])
+    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
+    return q[rank < k], pick[rank < k], score[rank < k]
 
 
 def search(
@@ -266,25 +293,33 @@ def search(
     first = np.concatenate([[0], np.cumsum(cuts)])
     cell_of = spark.sparkContext.broadcast((first, cuts))
 
+    parts = max(shuffle_partitions(spark), -(-n // 50_000))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, n_cells = cell_of.value
         for b in batches:
             x = matrix(b.column("vec"))
             for lo in range(0, len(x), 256):
-                cells, who = [], []
+                part, who, lists = [], [], []
                 for j in range(lo, min(lo + 256, len(x))):
-                    own = [begin[f] + c for f in known.value.visits(x[j], visits, shrunk) for c in range(n_cells[f])]
-                    cells += own
-                    who += [j] * len(own)
+                    by: dict[int, list[int]] = {}
+                    for f in known.value.visits(x[j], visits, shrunk):
+                        for c in range(begin[f], begin[f] + n_cells[f]):
+                            by.setdefault(int(c) % parts, []).append(int(c))
+                    part += by
+                    lists += by.values()
+                    who += [j] * len(by)
                 take = pa.array(who, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), b.column("id").take(take), b.column("vec").take(take)], names=["cell", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column("id").take(take), b.column("vec").take(take), pa.array(lists, pa.list_(pa.int32()))], names=["part", "id", "vec", "cells"])
 
     starts = spark.createDataFrame([(i, int(first[i]), int(cuts[i])) for i in range(tree.leaves)], "leaf int, first int, cuts int")
-    cells = indexed.join(F.broadcast(starts), "leaf").select((F.col("first") + F.pmod(F.xxhash64("id", F.lit(11)), F.col("cuts"))).cast("int").alias("cell"), F.lit(0).cast("byte").alias("kind"), "id", "ids", "vec")
-    going = queries.select("id", "vec").mapInArrow(visit, "cell int, id long, vec array<double>")
-    both = cells.unionByName(going.select("cell", F.lit(1).cast("byte").alias("kind"), "id", F.array().cast("array<long>").alias("ids"), "vec"))
-    hits = both.repartition("cell").mapInArrow(lambda bs: _search(bs, k + 1), "q long, ids array<long>, score double")
-    # a query's best k + 1 classes of each cell, merged; then its own id leaves
+    cell = (F.col("first") + F.pmod(F.xxhash64("id", F.lit(11)), F.col("cuts"))).cast("int")
+    cells = indexed.join(F.broadcast(starts), "leaf").withColumn("cell", cell)
+    cells = cells.select((F.col("cell") % parts).alias("part"), "cell", F.lit(0).cast("byte").alias("kind"), "id", "ids", "vec", F.array().cast("array<int>").alias("cells"))
+    going = queries.select("id", "vec").mapInArrow(visit, "part int, id long, vec array<double>, cells array<int>")
+    going = going.select("part", F.lit(0).alias("cell"), F.lit(1).cast("byte").alias("kind"), "id", F.array().cast("array<long>").alias("ids"), "vec", "cells")
+    hits = cells.unionByName(going).repartition(parts, "part").mapInArrow(lambda bs: _search(bs, k + 1), "q long, ids array<long>, score double")
+    # a query's best k + 1 classes of each part, merged; then its own id leaves
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
     merged = hits.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1)
     merged = merged.groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("hits"))
