@@ -39,6 +39,7 @@ class WordIds:
         self.lean = Tokenizer(self.tok.model)
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = self.tok.model.end_of_word_suffix
+        self.marked = bool(suffix)
         self.closes = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a word
         if suffix:
             self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
@@ -48,7 +49,7 @@ class WordIds:
     def _encode(self, parts: list[bytes]) -> None:
         plain, rest = [], []
         for p in parts:
-            (plain if _plain(p) and self.closes.any() else rest).append(p)
+            (plain if self.marked and _plain(p) else rest).append(p)
         if plain:
             ids = np.array(self.lean.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(self.closes[ids]) + 1
