@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch
 
 _HIT = pa.schema([("q", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
@@ -186,7 +186,7 @@ def _best(hits: list, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def search(
-    spark: SparkSession, table: DataFrame, k: int = 20, query_every: int = 20, sample_rows: int = 20_000, leaf_rows: int = 256, recall: float = 0.97, calibrate: int = 200, cell_rows: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding"
+    spark: SparkSession, table: DataFrame, k: int = 20, query_every: int = 20, sample_rows: int = 20_000, leaf_rows: int = 256, recall: float = 0.97, calibrate: int = 200, cell_rows: int = 4096, part_rows: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> tuple[DataFrame, dict]:
     """The ``k`` rows of largest inner product for each query: rows whose id is divisible by ``query_every``.
 
@@ -291,12 +291,14 @@ def search(
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # one row for each leaf
     cuts = np.array([max(1, -(-sizes.get(i, 0) // cell_rows)) for i in range(tree.leaves)])
     first = np.concatenate([[0], np.cumsum(cuts)])
-    cell_of = spark.sparkContext.broadcast((first, cuts))
-
-    parts = max(shuffle_partitions(spark), -(-n // 50_000))
+    # neighbouring leaves share a part, so a query's visits fall into few of them
+    rows_of_cell = np.repeat([sizes.get(i, 0) for i in range(tree.leaves)] / cuts, cuts)
+    part_of = ((np.cumsum(rows_of_cell) - rows_of_cell) // part_rows).astype(int)
+    parts = int(part_of.max()) + 1
+    cell_of = spark.sparkContext.broadcast((first, cuts, part_of))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin, n_cells = cell_of.value
+        begin, n_cells, parts_of = cell_of.value
         for b in batches:
             x = matrix(b.column("vec"))
             for lo in range(0, len(x), 256):
@@ -305,7 +307,7 @@ def search(
                     by: dict[int, list[int]] = {}
                     for f in known.value.visits(x[j], visits, shrunk):
                         for c in range(begin[f], begin[f] + n_cells[f]):
-                            by.setdefault(int(c) % parts, []).append(int(c))
+                            by.setdefault(int(parts_of[c]), []).append(int(c))
                     part += by
                     lists += by.values()
                     who += [j] * len(by)
@@ -314,8 +316,9 @@ def search(
 
     starts = spark.createDataFrame([(i, int(first[i]), int(cuts[i])) for i in range(tree.leaves)], "leaf int, first int, cuts int")
     cell = (F.col("first") + F.pmod(F.xxhash64("id", F.lit(11)), F.col("cuts"))).cast("int")
-    cells = indexed.join(F.broadcast(starts), "leaf").withColumn("cell", cell)
-    cells = cells.select((F.col("cell") % parts).alias("part"), "cell", F.lit(0).cast("byte").alias("kind"), "id", "ids", "vec", F.array().cast("array<int>").alias("cells"))
+    placed = spark.createDataFrame([(c, int(x)) for c, x in enumerate(part_of)], "cell int, part int")
+    cells = indexed.join(F.broadcast(starts), "leaf").withColumn("cell", cell).join(F.broadcast(placed), "cell")
+    cells = cells.select("part", "cell", F.lit(0).cast("byte").alias("kind"), "id", "ids", "vec", F.array().cast("array<int>").alias("cells"))
     going = queries.select("id", "vec").mapInArrow(visit, "part int, id long, vec array<double>, cells array<int>")
     going = going.select("part", F.lit(0).alias("cell"), F.lit(1).cast("byte").alias("kind"), "id", F.array().cast("array<long>").alias("ids"), "vec", "cells")
     hits = cells.unionByName(going).repartition(parts, "part").mapInArrow(lambda bs: _search(bs, k + 1), "q long, ids array<long>, score double")

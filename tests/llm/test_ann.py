@@ -34,7 +34,7 @@ def data(n=1500, seed=0):
 def test_against_brute_force(spark, cell_rows):
     rows = data()
     df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id long, embedding array<float>, rank string, leaf int").repartition(5)
-    out, info = search(spark, df, leaf_rows=40, sample_rows=900, cell_rows=cell_rows)
+    out, info = search(spark, df, leaf_rows=40, sample_rows=900, cell_rows=cell_rows, part_rows=5 * cell_rows)
     got = {}
     for r in out.collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
