@@ -22,7 +22,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
-    for name, f in {n: QUERIES[n] for n in HEADLINE}.items() | {"player_report": player_report}.items():
+    for name, f in ({n: QUERIES[n] for n in HEADLINE} | {"player_report": player_report}).items():
         runs = []
         for _ in range(4):
             t = time.time()
