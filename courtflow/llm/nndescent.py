@@ -2,10 +2,12 @@
 
 Lists of neighbours start from small cells that random hyperplanes cut, and
 improve by joins with neighbours' neighbours until few change. Only neighbours
-near the threshold stay in a list. A list that is full of links (saturated) must
-grow: it is enlarged to its whole connected group, whose members are compared in
-blocks, so link counts within a group are exact however dense it is. An audit
-against brute force decides whether more cells are needed.
+near the threshold stay in a list. A list that is full of links (saturated) hides
+the farther ones, so links are also kept apart from the lists: each cell gives
+links that span its components, and the descent every link it meets. Groups come
+from both; a group's members are compared in blocks, so link counts within it
+are exact however dense it is. An audit against brute force decides whether more
+cells are needed.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, batch, components
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
+_LIST = pa.schema([*_EDGE, ("span", pa.bool_())])
 _PART = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
@@ -68,8 +71,12 @@ def groups(batches: Iterator[pa.RecordBatch], key: str, *by: str) -> Iterator[pa
             yield t.slice(lo, hi - lo)
 
 
-def first_lists(classes: DataFrame, n: int, rounds: range, k: int, floor: float, cell: int = 512) -> DataFrame:
-    """(u, v, sim): each vector's best ``k`` of its cell, for several cuts by random hyperplanes."""
+def first_lists(classes: DataFrame, n: int, rounds: range, k: int, floor: float, threshold: float, cell: int = 512) -> DataFrame:
+    """(u, v, sim, span): each vector's best ``k`` of its cell, for several cuts by random hyperplanes.
+
+    Rows with span are links of ``threshold`` or more that connect all that the
+    cell's links connect, however many better neighbours a vector has there.
+    """
     bits = int(np.clip(np.ceil(np.log2(max(n, 2) / 128)), 1, 40))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +113,14 @@ def first_lists(classes: DataFrame, n: int, rounds: range, k: int, floor: float,
             near = np.argpartition(-sims, take - 1, axis=1)[:, :take]
             s = np.take_along_axis(sims, near, 1)
             u, j = np.nonzero(s >= floor)
-            yield batch(_EDGE, u=node[u], v=node[near[u, j]], sim=s[u, j])
+            yield batch(_LIST, u=node[u], v=node[near[u, j]], sim=s[u, j], span=np.zeros(len(u), bool))
+            hit = sims >= threshold
+            linked = np.flatnonzero(hit.any(1))
+            root = spread(hit[np.ix_(linked, linked)])
+            far = np.flatnonzero(root != np.arange(len(root)))
+            yield batch(_LIST, u=node[linked[far]], v=node[linked[root[far]]], sim=np.full(len(far), threshold), span=np.ones(len(far), bool))
 
-    return cells.select("cell", "node", "vec").repartition("cell").mapInArrow(best, "u long, v long, sim double")
+    return cells.select("cell", "node", "vec").repartition("cell").mapInArrow(best, "u long, v long, sim double, span boolean")
 
 
 def keep_best(edges: DataFrame, k: int) -> DataFrame:
@@ -117,10 +129,13 @@ def keep_best(edges: DataFrame, k: int) -> DataFrame:
     return edges.dropDuplicates(["u", "v"]).withColumn("rn", rank).where(F.col("rn") <= k).drop("rn")
 
 
-def descend(scratch: Scratch, classes: DataFrame, graph: DataFrame, k: int, floor: float, rounds: int = 6, still: float = 0.01) -> DataFrame:
-    """Refine lists: whoever shares a neighbour is compared, until under ``still`` of the entries are new."""
+def descend(scratch: Scratch, classes: DataFrame, graph: DataFrame, k: int, floor: float, threshold: float, rounds: int = 6, still: float = 0.01) -> tuple[DataFrame, list[DataFrame]]:
+    """Refine lists: whoever shares a neighbour is compared, until under ``still`` of the entries are new.
+
+    Returns the lists and, as tables (u, v), all links met, also those that no list has room for.
+    """
     graph = scratch.table(keep_best(graph, k), "graph")
-    size = graph.count()
+    size, links = graph.count(), []
     for _ in range(rounds):
         if not size:
             break
@@ -147,13 +162,14 @@ def descend(scratch: Scratch, classes: DataFrame, graph: DataFrame, k: int, floo
 
         new = scratch.table(pairs.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long, sim double"), "new")
         wider = scratch.table(keep_best(graph.unionByName(new), k), "graph")
+        links.append(scratch.table(new.where((F.col("u") < F.col("v")) & (F.col("sim") >= threshold)).select("u", "v"), "links"))
         fresh = wider.join(graph, ["u", "v"], "left_anti").count()
         scratch.drop(graph, new)
         graph = wider
         if fresh <= still * size:
             break
         size = wider.count()
-    return graph
+    return graph, links
 
 
 def count_links(scratch: Scratch, classes: DataFrame, graph: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
@@ -237,11 +253,16 @@ def near_duplicates(
     scratch = Scratch(spark, "nn")
     classes = scratch.table(classes_of(table, id_col, vec_col, label_col), "classes")
     n, floor = classes.count(), threshold - slack
-    graph, done, reached, total = None, 0, 0.0, first_rounds
+    graph, spans, done, reached, total = None, [], 0, 0.0, first_rounds
     for _ in range(3):
-        lists = first_lists(classes, n, range(done, total), k, floor)
-        graph = descend(scratch, classes, lists if graph is None else graph.unionByName(lists), k, floor)
-        parts = scratch.table(count_links(scratch, classes, graph, threshold), "parts")
+        cells = scratch.table(first_lists(classes, n, range(done, total), k, floor, threshold), "cells")
+        lists = cells.where("not span").drop("span")
+        graph, links = descend(scratch, classes, lists if graph is None else graph.unionByName(lists), k, floor, threshold)
+        spans += [cells.where("span").select("u", "v"), *links]
+        edges = graph.select("u", "v")
+        for s in spans:
+            edges = edges.unionByName(s)
+        parts = scratch.table(count_links(scratch, classes, edges, threshold), "parts")
         counts = scratch.table(parts.groupBy("node").agg(F.sum("links").alias("links")), "counts")
         reached = audit(spark, classes, counts, threshold)
         if reached >= recall:

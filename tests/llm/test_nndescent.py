@@ -75,6 +75,22 @@ def test_dense_group_in_blocks(spark, monkeypatch):
     assert {r["id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == brute(rows)
 
 
+def test_links_between_saturated_clusters(spark):
+    """Two clusters of more members than a list holds, linked to each other: no list has a cross link."""
+    g = np.random.default_rng(4)
+    a, b = np.linalg.qr(g.normal(size=(64, 2)))[0].T
+    angle = np.arccos(0.9855)
+    rows = []
+    for c in (a, np.cos(angle) * a + np.sin(angle) * b):
+        for _ in range(40):
+            e = g.normal(size=64)
+            rows.append((len(rows), (c + 0.015 * e / np.linalg.norm(e)).astype(np.float32).tolist(), 1))
+    out, _ = near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    want = brute(rows)
+    assert {w for w in want.values()} == {(79, 0)}
+    assert {r["id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == want
+
+
 def test_spread():
     hit = np.zeros((6, 6), bool)
     for a, b in ((0, 3), (3, 5), (1, 2)):
