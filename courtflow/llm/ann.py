@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample; every vector is then put into a leaf. A
 query walks the tree with a priority queue: the open branch with the largest
 bound on the inner product comes next. How many leaves a query visits is
 calibrated: for some queries the true neighbours are found by brute force, and
-visits widen until the leaves visited hold the wanted share of them.
+visits widen until the leaves visited hold the wanted share of them, among
+vectors with copies and among those without.
 """
 
 from __future__ import annotations
@@ -195,7 +196,8 @@ def search(
     vectors are one candidate with their k + 1 smallest ids (a query needs no
     more), and equal queries are searched once, so groups of copies cost one row.
     The tree is fitted on at most ``sample_rows`` rows and calibrated on at most
-    ``calibrate`` queries against all rows; every row is indexed. A leaf of over
+    ``calibrate`` queries without copies and as many with, against all rows: the
+    recall is that of the worse of the two. Every row is indexed. A leaf of over
     ``cell_rows`` vectors is cut into cells, each searched apart. Null, zero and
     non-finite vectors and null ids take no part; vectors of another length than
     the most common one neither. An empty table gives no rows.
@@ -246,11 +248,14 @@ def search(
             todo += [(c, at[of == j]) for j, c in enumerate(tree.children[node])]
     shrunk = radii * 0.25  # members spread over all directions; few lie far along the query's
 
-    # calibration: true neighbours of some queries, by blocks of rows against them; repeated
-    # queries come first and weigh as often as they are asked, the others share the rest
-    probe = queries.orderBy(F.desc("n"), F.xxhash64("id")).limit(calibrate).toArrow()
-    weight = np.array(probe.column("n"), float)
-    weight[weight == 1] = max(1.0, (asked.count() - weight[weight > 1].sum()) / max(1, (weight == 1).sum()))
+    # calibration: true neighbours of some queries, by blocks of rows against them. A vector's copies
+    # are its neighbours and lie in one leaf, so queries with and without copies are drawn apart;
+    # each weighs as often as it is asked
+    kinds = queries.join(classes.select("h", "vec", (F.size("ids") > 1).alias("copied")), ["h", "vec"]).select("id", "vec", "n", "copied")
+    kinds = scratch.table(kinds, "kinds")
+    drawn = [kinds.where(c).orderBy(F.xxhash64("id")).limit(calibrate) for c in ("copied", "not copied")]
+    probe = drawn[0].unionByName(drawn[1]).toArrow()
+    weight, copied = np.array(probe.column("n"), float), np.array(probe.column("copied"), bool)
     pid, pvec = np.array(probe.column("id")), matrix(probe.column("vec").combine_chunks())
     probes = spark.sparkContext.broadcast((pid, pvec))
 
@@ -275,17 +280,21 @@ def search(
     for r in indexed.mapInArrow(brute, "q long, id long, score double, leaf int").collect():
         if r["q"] != r["id"]:
             truth.setdefault(r["q"], []).append((-r["score"], r["id"], r["leaf"]))
-    steps, weights = [], []
+    steps, weights, kind = [], [], []
     for j, q in enumerate(pid.tolist()):
         order = {leaf: i for i, leaf in enumerate(tree.visits(pvec[j], tree.leaves, shrunk))}
         own = [order[leaf] for _, _, leaf in heapq.nsmallest(k, truth.get(q, []))]
         steps += own
         weights += [weight[j]] * len(own)
-    at = np.argsort(steps, kind="stable")
-    share = np.cumsum(np.array(weights)[at]) / max(sum(weights), 1e-9) if steps else np.ones(1)
-    widest = int(np.searchsorted(share, min(recall, 1 - 1e-12)))
-    visits = int(np.array(steps)[at][min(widest, len(steps) - 1)]) + 1 if steps else 1
-    reached = float(sum(w for w, x in zip(weights, steps, strict=True) if x < visits) / sum(weights)) if steps else 1.0
+        kind += [copied[j]] * len(own)
+    step, w, kind = np.array(steps, int), np.array(weights), np.array(kind, bool)
+    sides = [(step[kind == c], w[kind == c]) for c in (False, True) if (kind == c).any()]
+    visits = 1
+    for own, by in sides:
+        at = np.argsort(own, kind="stable")
+        widest = int(np.searchsorted(np.cumsum(by[at]) / by.sum(), min(recall, 1 - 1e-12)))
+        visits = max(visits, int(own[at][min(widest, len(own) - 1)]) + 1)
+    reached = min((float(by[own < visits].sum() / by.sum()) for own, by in sides), default=1.0)
 
     # cells of leaves, and the queries that visit them
     sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # one row for each leaf

@@ -67,6 +67,24 @@ def test_all_leaves_give_exact_results(spark):
     assert same > 0.95
 
 
+def test_many_copy_groups_leave_ordinary_queries_calibrated(spark):
+    """More repeated queries than are drawn: their neighbours are their copies, those of the others are not."""
+    g = np.random.default_rng(5)
+    unit = lambda v: (v / np.linalg.norm(v)).astype(np.float32).tolist()
+    rows = [(i, unit(v)) for i, v in enumerate(g.normal(size=(3000, 8)))]
+    for c in range(60):  # 42 copies each, of which two or three are asked
+        v = unit(g.normal(size=8))
+        rows += [(len(rows) + j, v) for j in range(42)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out, info = search(spark, df, leaf_rows=40, sample_rows=3000, calibrate=50)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: {i for i, _ in hits} for q, hits in brute(rows).items() if q < 3000}
+    found = sum(len(got[q] & hits) for q, hits in want.items()) / sum(map(len, want.values()))
+    assert found >= 0.93 and info["recall"] >= 0.97
+
+
 def test_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     out, _ = search(spark, spark.createDataFrame([], schema))
