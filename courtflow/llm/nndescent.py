@@ -45,8 +45,8 @@ def classes_of(table: DataFrame, id_col: str, vec_col: str, label_col: str) -> D
     return rows.groupBy("label", "h", "vec").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
 
 
-def blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Adds block, side: each key's rows in blocks of about ``size``, once for each pair of blocks they are in.
+def blocks(rows: DataFrame, key: str, size: int, *cols: str) -> DataFrame:
+    """(block, side, node, and ``cols``): each key's rows in blocks of about ``size``, once for each pair of blocks they are in.
 
     side 0 rows are compared with one another; 1 with 2.
     """
@@ -55,7 +55,7 @@ def blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     rows = rows.join(big, key, "left").withColumn("cut", F.pmod(F.xxhash64("node", F.lit(9)), n))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     side = F.when(F.col("cut") == F.col("other"), 0).when(F.col("cut") < F.col("other"), 1).otherwise(2)
-    return rows.select(F.xxhash64(key, F.least("cut", "other"), F.greatest("cut", "other")).alias("block"), side.cast("byte").alias("side"), "node", "copies", "vec")
+    return rows.select(F.xxhash64(key, F.least("cut", "other"), F.greatest("cut", "other")).alias("block"), side.cast("byte").alias("side"), "node", *cols)
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str, *by: str) -> Iterator[pa.Table]:
@@ -180,7 +180,7 @@ def count_links(scratch: Scratch, classes: DataFrame, graph: DataFrame, threshol
     """
     roots = scratch.table(components(scratch, graph.select(F.col("u").alias("a"), F.col("v").alias("b"))), "groups")
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    rows = blocks(classes.join(member, "node").select("root", "node", "copies", "vec"), "root", block)
+    rows = blocks(classes.join(member, "node").select("root", "node", "copies", "vec"), "root", block, "copies", "vec")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "block", "side"):

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch, components, rows_of, with_bytes, words_of
+from .nndescent import blocks, spread
 
 _FP = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -213,24 +214,28 @@ def near_links(classes: DataFrame, radius: int = 4, hot: int = 16384) -> DataFra
     return shard_links(rows, radius, hot)
 
 
-def similar_radius(similarity: float, bits: int, spread: float = 2.0) -> int:
-    """Differing bits that pairs of this Jaccard similarity stay within: the mean and ``spread`` standard deviations.
+def similar_radius(similarity: float, bits: int, deviations: float = 4.0) -> int:
+    """Differing bits that pairs of this Jaccard similarity stay within: the mean and ``deviations`` standard deviations.
 
     Shingle vectors of Jaccard similarity J have a cosine of about 2J/(1+J), and
     each bit differs with the angle's share of a half turn.
     """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + spread * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
 
 
-def sampled_shards(classes: DataFrame, bits: int, differ: float, n: int, per_shard: int = 64, miss: float = 0.02) -> DataFrame:
+def sampled_shards(classes: DataFrame, bits: int, differ: float, n: int, per_shard: int = 64, miss: float = 0.005) -> DataFrame:
     """(shard, node, fp): a shard for each of ``tables`` fixed choices of bits, wide enough for small shards.
 
-    Pairs whose bits differ at the rate ``differ`` share no shard with probability
-    ``miss`` at most; closer pairs, far less.
+    Pairs whose bits differ at the rate ``differ``, so by a binomial number of bits,
+    share no shard with probability ``miss`` at most; closer pairs, far less.
     """
     width = int(np.clip(np.ceil(np.log2(max(n, 2) / per_shard)), 4, 28))
-    tables = int(np.ceil(np.log(miss) / np.log1p(-((1 - differ) ** width))))
+    d = np.arange(bits + 1)
+    chance = np.array([comb(bits, int(i)) * differ**i * (1 - differ) ** (bits - i) for i in d], float)
+    apart, tables = 1 - (1 - d / bits) ** width, 1
+    while (chance * apart**tables).sum() > miss:
+        tables += 1
     rng = np.random.default_rng(20)
     picks = [rng.choice(bits, width, replace=False) for _ in range(tables)]
     schema = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("fp", pa.binary())])
@@ -248,27 +253,88 @@ def sampled_shards(classes: DataFrame, bits: int, differ: float, n: int, per_sha
     return classes.select("node", "fp").mapInArrow(run, "shard long, node long, fp binary")
 
 
+def shingle_set(body: bytes | None, shingle: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
+    words = words_of(body)
+    if not words:
+        return np.zeros(0, np.int64)
+    rows = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, rows)), np.int64))
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float, width: int = 4096) -> np.ndarray:
+    """Which pairs of sets have that Jaccard similarity or more."""
+    size = np.array([len(x) for x in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[at] > 1
+    of, at = np.repeat(np.arange(len(sets)), size)[shared], (np.cumsum(n > 1) - 1)[at[shared]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    both = np.zeros((len(sets), len(sets)))
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        x, y = np.searchsorted(at, [lo, lo + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[of[x:y], at[x:y] - lo] = 1
+        both += has @ has.T
+    return both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+
+
+def verified_links(docs: DataFrame, members: DataFrame, shingle: int, similarity: float, block: int = 256) -> DataFrame:
+    """(a, b): links that span the components of the pairs of a group whose shingle sets are similar enough.
+
+    ``docs`` has (id, tie, body), ``members`` (root, node, m_id, m_tie). All pairs of a group are
+    compared, those of large groups in blocks.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shingle_set(body, shingle) for (body,) in rows_of([b], "body")]
+            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array(got, pa.list_(pa.int64()))], names=["root", "node", "parts"])
+
+    rows = docs.join(members, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("tie") == F.col("m_tie")))
+    rows = rows.select("root", "node", "body").mapInArrow(sets, "root long, node long, parts array<long>").dropDuplicates(["node"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+        if len(node) < 2 or side.min() == side.max() != 0:
+            return _LINK.empty_table()
+        hit = similar_sets([np.array(x, np.int64) for x in t.column("parts").to_pylist()], similarity)
+        hit &= (side[:, None] != side[None, :]) | (side[:, None] == 0)
+        root = spread(hit)
+        far = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": node[far], "b": node[root[far]]}, schema=_LINK)
+
+    return blocks(rows.withColumnRenamed("root", "grp"), "grp", block, "parts").groupBy("block").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents whose word shingles have about the given Jaccard similarity or more.
+    """Groups of documents linked by a Jaccard similarity of their sets of word shingles of ``similarity`` or more.
 
     Wider fingerprints than 64 bits keep a radius that reaches ``similarity``
-    far from what unrelated texts differ by. Returns (id, tie, copies, keep) for
+    far from what unrelated texts differ by; they only propose groups, whose
+    pairs are then compared by their sets. Returns (id, tie, copies, keep) for
     each distinct (id, text), ``tie`` being xxhash64 of the text: keep is true for
-    the smallest of each group. Exact copies share a fingerprint and fold first.
+    the smallest of each group. Texts of one set of shingles fold first.
     """
     scratch = Scratch(spark, "near")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint_bytes(body, shingle, bits) for (body,) in rows_of([b], "body")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tie"), pa.array(fps, pa.binary())], names=["id", "tie", "fp"])
+            fps, nodes = [], []
+            for (body,) in rows_of([b], "body"):
+                fps.append(fingerprint_bytes(body, shingle, bits))
+                nodes.append(int.from_bytes(xxhash.xxh3_64_digest(shingle_set(body, shingle).tobytes()), "big", signed=True))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tie"), pa.array(fps, pa.binary()), pa.array(nodes, pa.int64())], names=["id", "tie", "fp", "node"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("binary").alias("body"))
-    prints = scratch.table(rows.mapInArrow(run, "id long, tie long, fp binary").groupBy("id", "tie", "fp").agg(F.count("*").alias("copies")).withColumn("node", F.xxhash64("fp")), "prints")
-    classes = scratch.table(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("rep")), "classes")
+    prints = scratch.table(rows.mapInArrow(run, "id long, tie long, fp binary, node long").groupBy("id", "tie", "fp", "node").agg(F.count("*").alias("copies")), "prints")
+    classes = scratch.table(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("rep")), "classes")
     radius = similar_radius(similarity, bits)
     links = shard_links(sampled_shards(classes, bits, similar_radius(similarity, bits, 0) / bits, classes.count()), radius)
-    roots = components(scratch, links)
+    near = components(scratch, links)
+    members = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    members = scratch.table(members.join(classes, "node").select("root", "node", F.col("rep.id").alias("m_id"), F.col("rep.tie").alias("m_tie")), "members")
+    roots = components(scratch, scratch.table(verified_links(rows, members, shingle, similarity), "verified"))
     rooted = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "rep")
     best = rooted.groupBy("root").agg(F.min("rep").alias("rep")).select("rep.id", "rep.tie")
     best = scratch.table(best.withColumn("kept", F.lit(True)).toDF("b_id", "b_tie", "kept"), "best")

@@ -136,3 +136,23 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     kept = {x["id"] for x in got if x["keep"]}
     assert kept == {min(g) for g in groups}
     assert near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Pairs from a Jaccard similarity of 0.6 to 0.9, long and short: just those of 0.8 or more go."""
+    from courtflow.llm.simhash import near_duplicates
+
+    r = random.Random(9)
+    vocab = [f"v{i}" for i in range(5000)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+    rows, kept = [], set()
+    for share in (0.6, 0.65, 0.7, 0.75, 0.79, 0.81, 0.85, 0.9):
+        for n in [200] * 12 + [40] * 4:
+            a = [r.choice(vocab) for _ in range(n)]
+            same = round(n * 2 * share / (1 + share))
+            b = a[:same] + [r.choice(vocab) for _ in range(n - same)]
+            x, y = shingles(a), shingles(b)
+            kept |= {len(rows)} | ({len(rows) + 1} if len(x & y) < 0.8 * len(x | y) else set())
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {x["id"] for x in got if x["keep"]} == kept
