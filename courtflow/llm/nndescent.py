@@ -6,8 +6,10 @@ near the threshold stay in a list. A list that is full of links (saturated) hide
 the farther ones, so links are also kept apart from the lists: each cell gives
 links that span its components, and the descent every link it meets. Groups come
 from both; a group's members are compared in blocks, so link counts within it
-are exact however dense it is. An audit against brute force decides whether more
-cells are needed.
+are exact however dense it is. Dense cells are compared in blocks too, so a pair
+is only missed if no cut leaves it in one cell. An audit against brute force
+decides whether more cells are needed; if those don't do, all pairs of a label are
+compared.
 """
 
 from __future__ import annotations
@@ -71,13 +73,26 @@ def groups(batches: Iterator[pa.RecordBatch], key: str, *by: str) -> Iterator[pa
             yield t.slice(lo, hi - lo)
 
 
+def cell_bits(n: int) -> int:
+    """Hyperplanes for cells of about 128 of ``n`` rows."""
+    return int(np.clip(np.ceil(np.log2(max(n, 2) / 128)), 1, 40))
+
+
+def rounds_for(n: int, threshold: float, miss: float = 0.005) -> int:
+    """Cuts so that a pair of cosine ``threshold`` shares no cell with probability ``miss`` at most."""
+    together = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** cell_bits(n)
+    return int(np.ceil(np.log(miss) / np.log1p(-min(together, 1 - 1e-9))))
+
+
 def first_lists(classes: DataFrame, n: int, rounds: range, k: int, floor: float, threshold: float, cell: int = 512) -> DataFrame:
     """(u, v, sim, span): each vector's best ``k`` of its cell, for several cuts by random hyperplanes.
 
     Rows with span are links of ``threshold`` or more that connect all that the
     cell's links connect, however many better neighbours a vector has there.
+    Cells of over 2 * ``cell`` rows are compared in blocks; lists start from a
+    row's own block.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(n, 2) / 128)), 1, 40))
+    bits = cell_bits(n)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,29 +113,32 @@ def first_lists(classes: DataFrame, n: int, rounds: range, k: int, floor: float,
     kind = classes.schema["label"].dataType.simpleString()
     cells = classes.select("label", "node", "copies", "vec").mapInArrow(cut, f"code long, t int, d int, label {kind}, node long, copies long, vec array<float>")
     cells = cells.withColumn("cell", F.xxhash64("label", "d", "t", "code"))
-    # dense cells are dealt at random to parts of bounded size: lists only have to start somewhere
-    big = cells.groupBy("cell").count().where(F.col("count") > 2 * cell).select("cell", F.ceil(F.col("count") / cell).alias("cuts"))
-    cells = cells.join(big, "cell", "left").withColumn("cell", F.xxhash64("cell", F.pmod(F.xxhash64("node", "t"), F.coalesce("cuts", F.lit(1).cast("long")))))
+    cells = blocks(cells, "cell", 2 * cell, "vec")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, "cell"):
-            x, node = _matrix(g.column("vec")), g.column("node").to_numpy()
+        for g in groups(batches, "block", "side"):
+            x, node, side = _matrix(g.column("vec")), g.column("node").to_numpy(), g.column("side").to_numpy()
+            if side[0] == side[-1] != 0:
+                continue
             sims = cosines(x, x)
             np.fill_diagonal(sims, -2)
+            if side[0]:
+                sims[side[:, None] == side[None, :]] = -2
             if sims.max() < floor:
                 continue
-            take = min(k, len(node) - 1)
-            near = np.argpartition(-sims, take - 1, axis=1)[:, :take]
-            s = np.take_along_axis(sims, near, 1)
-            u, j = np.nonzero(s >= floor)
-            yield batch(_LIST, u=node[u], v=node[near[u, j]], sim=s[u, j], span=np.zeros(len(u), bool))
+            if not side[0]:
+                take = min(k, len(node) - 1)
+                near = np.argpartition(-sims, take - 1, axis=1)[:, :take]
+                s = np.take_along_axis(sims, near, 1)
+                u, j = np.nonzero(s >= floor)
+                yield batch(_LIST, u=node[u], v=node[near[u, j]], sim=s[u, j], span=np.zeros(len(u), bool))
             hit = sims >= threshold
             linked = np.flatnonzero(hit.any(1))
             root = spread(hit[np.ix_(linked, linked)])
             far = np.flatnonzero(root != np.arange(len(root)))
             yield batch(_LIST, u=node[linked[far]], v=node[linked[root[far]]], sim=np.full(len(far), threshold), span=np.ones(len(far), bool))
 
-    return cells.select("cell", "node", "vec").repartition("cell").mapInArrow(best, "u long, v long, sim double, span boolean")
+    return cells.repartition("block").mapInArrow(best, "u long, v long, sim double, span boolean")
 
 
 def keep_best(edges: DataFrame, k: int) -> DataFrame:
@@ -180,7 +198,12 @@ def count_links(scratch: Scratch, classes: DataFrame, graph: DataFrame, threshol
     """
     roots = scratch.table(components(scratch, graph.select(F.col("u").alias("a"), F.col("v").alias("b"))), "groups")
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    rows = blocks(classes.join(member, "node").select("root", "node", "copies", "vec"), "root", block, "copies", "vec")
+    return links_within(classes.join(member, "node").select("root", "node", "copies", "vec"), threshold, block)
+
+
+def links_within(rows: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """(node, links, root) parts of all pairs of each root of (root, node, copies, vec)."""
+    rows = blocks(rows, "root", block, "copies", "vec")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "block", "side"):
@@ -213,9 +236,13 @@ def spread(hit: np.ndarray) -> np.ndarray:
     return lab
 
 
-def audit(spark: SparkSession, classes: DataFrame, counts: DataFrame, threshold: float, probes: int = 200) -> float:
-    """The share of true links that were counted, for up to ``probes`` vectors compared with all rows of their label."""
-    half = classes.select("node", F.col("label").cast("string").alias("label"), "vec").orderBy(F.xxhash64("node", F.lit(13))).limit(probes).toArrow()
+def audit(spark: SparkSession, classes: DataFrame, counts: DataFrame, threshold: float, probes: int = 1000, linked: int = 200) -> float:
+    """The share of true links that were counted, for up to ``probes`` vectors, and ``linked`` of those with links, compared with all rows of their label.
+
+    The lower of the share of links and its mean over vectors, in which a pair weighs as much as a dense group.
+    """
+    draw = lambda t, m: t.select("node", F.col("label").cast("string").alias("label"), "vec").orderBy(F.xxhash64("node", F.lit(13))).limit(m)
+    half = draw(classes, probes).unionByName(draw(classes.join(counts.where("links > 0"), "node", "left_semi"), linked)).dropDuplicates(["node"]).toArrow()
     node, label = np.array(half.column("node")), np.array(half.column("label"))
     vecs = [np.array(v, float) for v in half.column("vec").to_pylist()]
 
@@ -235,7 +262,10 @@ def audit(spark: SparkSession, classes: DataFrame, counts: DataFrame, threshold:
     want = {r["node"]: r["want"] for r in classes.select("node", "copies", F.col("label").cast("string").alias("label"), "vec").mapInArrow(brute, "node long, want long").groupBy("node").agg(F.sum("want").alias("want")).collect()}
     got = {r["node"]: r["links"] for r in counts.where(F.col("node").isin([int(i) for i in node])).collect()} if len(node) else {}
     total = sum(want.values())
-    return sum(min(got.get(i, 0), w) for i, w in want.items()) / total if total else 1.0
+    if not total:
+        return 1.0
+    share = {i: min(got.get(i, 0), w) / w for i, w in want.items() if w}
+    return min(sum(share[i] * want[i] for i in share) / total, sum(share.values()) / len(share))
 
 
 def near_duplicates(
@@ -248,12 +278,13 @@ def near_duplicates(
     null, zero, non-finite or with null components, and rows without id or label,
     link with nothing; vectors of different lengths neither. Rows that repeat an
     id count as vectors of their own. Where the audit finds under ``recall`` of
-    the links, twice as many first cells are cut and the graph refined again.
+    the links, twice as many first cells are cut and the graph refined again; where
+    that doesn't do either, all pairs of a label are compared.
     """
     scratch = Scratch(spark, "nn")
     classes = scratch.table(classes_of(table, id_col, vec_col, label_col), "classes")
     n, floor = classes.count(), threshold - slack
-    graph, spans, done, reached, total = None, [], 0, 0.0, first_rounds
+    graph, spans, done, reached, total = None, [], 0, 0.0, max(first_rounds, rounds_for(n, threshold))
     for _ in range(3):
         cells = scratch.table(first_lists(classes, n, range(done, total), k, floor, threshold), "cells")
         lists = cells.where("not span").drop("span")
@@ -268,6 +299,10 @@ def near_duplicates(
         if reached >= recall:
             break
         done, total = total, 2 * total
+    else:
+        whole = classes.select(F.xxhash64("label", F.size("vec")).alias("root"), "node", "copies", "vec")
+        parts = scratch.table(links_within(whole, threshold), "parts")
+        counts, reached = scratch.table(parts.groupBy("node").agg(F.sum("links").alias("links")), "counts"), 1.0
     roots = components(scratch, parts.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = classes.join(counts, "node", "left").join(roots, "node", "left")
     known = scratch.table(known.select("label", "h", "vec", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id")), "known")

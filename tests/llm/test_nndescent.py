@@ -91,6 +91,26 @@ def test_links_between_saturated_clusters(spark):
     assert {r["id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == want
 
 
+def test_lone_pairs_in_a_dense_cone(spark, monkeypatch):
+    """Near pairs among many vectors of cosine 0.9 to each other, in cells of many parts."""
+    from courtflow.llm import nndescent
+
+    real = nndescent.first_lists
+    monkeypatch.setattr(nndescent, "first_lists", lambda *a: real(*a, cell=30))
+    g = np.random.default_rng(6)
+    axis = np.eye(64)[0]
+    side = g.normal(size=(1200, 64)) * (1 - axis)
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    side[:40] = side[40:80] + 0.3 * side[:40]
+    side[:40] /= np.linalg.norm(side[:40], axis=1)[:, None]
+    x = np.sqrt(0.9) * axis + np.sqrt(0.1) * side
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(x)]
+    out, info = near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    want = brute(rows)
+    assert sum(n for n, _ in want.values()) >= 80 and info["recall"] >= 0.99
+    assert {r["id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == want
+
+
 def test_spread():
     hit = np.zeros((6, 6), bool)
     for a, b in ((0, 3), (3, 5), (1, 2)):
