@@ -20,7 +20,7 @@ from .session import session
 def process(ball: DataFrame, players: DataFrame) -> dict[str, DataFrame]:
     """Bounces, shots, points and metrics of all matches, each lazy."""
     contacts = E.contacts(ball, players)
-    shots = P.point_shots(E.shots(ball, players), P.boundaries(ball))
+    shots = P.in_points(E.play_shots(E.match_play(ball, players)))
     return {
         "bounces": E.without_contacts(E.bounces(ball), contacts), "contacts": contacts, "shots": shots, "points": P.points(shots),
         "rallies": M.rally_metrics(shots), "players": M.player_metrics(shots, players), "teams": M.team_metrics(shots, players),

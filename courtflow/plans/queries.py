@@ -34,7 +34,7 @@ def _shots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _point_shots(spark: SparkSession, d: str) -> DataFrame:
-    return P.point_shots(_shots(spark, d), P.boundaries(A.ball_frames(spark, d)))
+    return P.in_points(E.play_shots(E.match_play(*_all(spark, d))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -492,6 +492,4 @@ def _(s, d):
 def player_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every player's metrics from raw frames."""
     ball, pl = _all(spark, sf_dir)
-    return M.player_metrics(P.point_shots(E.shots(ball, pl), P.boundaries(ball)), pl)
-
-
+    return M.player_metrics(P.in_points(E.play_shots(E.match_play(ball, pl))), pl)
