@@ -3,11 +3,14 @@ import random
 import numpy as np
 import pytest
 
-from courtflow.llm.linededup import dedup_lines, windows
+from pyspark.sql import functions as F
+
+from courtflow.llm.common import Scratch
+from courtflow.llm.linededup import dedup_lines, maximal_runs, refine, windows
 
 
 def brute(docs, min_words):
-    """docs: (id, text) in order. A line goes if some run of enough words around it has an earlier copy."""
+    """docs: (id, text) in order. A line goes if some run of enough words around it ends somewhere before it starts."""
     text, where = [], []
     for d, (_, t) in enumerate(docs):
         if t is not None:
@@ -22,7 +25,7 @@ def brute(docs, min_words):
             for j in range(i + 1, n + 1):
                 run = tuple(text[start + i : start + j])
                 at = first.setdefault(run, start + i)
-                if at < start + i and sum(len(x.split()) for x in run) >= min_words:
+                if at + j - i <= start + i and sum(len(x.split()) for x in run) >= min_words:
                     gone[d].update(range(i, j))
     return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, (_, t) in enumerate(docs)]
 
@@ -69,6 +72,36 @@ def test_against_every_run(spark, seed):
     assert got == {i: t for (i, _), t in zip(docs, brute(docs, 8), strict=True)}
 
 
+def test_a_run_of_equal_lines_keeps_its_first_copy(spark):
+    line, pair = "w " * 20, "a " * 30 + "\n" + "b " * 30
+    texts = ["\n".join([line] * 6), "\n".join([line] * 7), "\n".join([pair] * 4), "x\n" + "\n".join([line] * 3)]
+    want = ["\n".join([line] * 3), "", pair, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in dedup_lines(spark, df).orderBy("doc_id").collect()] == want
+    runs = sorted((r["id"], r["at"], r["len"]) for r in maximal_runs(spark, df).collect())
+    assert runs == [(0, 3, 3), (1, 0, 7), (2, 2, 6), (3, 1, 3)]
+
+
+def test_suffixes_are_ranked_in_order(spark):
+    """Ranks of each round are the left ends of intervals of the sorted suffixes that repeat."""
+    r = random.Random(2)
+    text = [r.choice([3, 5, 8]) for _ in range(200)]
+    s, span = Scratch(spark, "t"), 1
+    rows = spark.createDataFrame([(i, 200, c, 0) for i, c in enumerate(text)], "pos long, end long, a long, b long")
+    while span <= 8:
+        suffixes = refine(s, rows)
+        got = {x["pos"]: x["rank"] for x in suffixes.collect()}
+        keys = {i: tuple(text[i : i + span]) for i in range(200 - span + 1)}
+        repeat = sorted((k, i) for i, k in keys.items() if list(keys.values()).count(k) > 1)
+        left = {}
+        for rank, (k, _) in enumerate(repeat):
+            left.setdefault(k, rank)
+        assert got == {i: left[k] for k, i in repeat}
+        b = suffixes.select(F.col("pos").alias("tail"), F.col("rank").alias("b"))
+        rows = suffixes.where(F.col("pos") + 2 * span <= 200).select("pos", "end", F.col("rank").alias("a"), (F.col("pos") + span).alias("tail")).join(b, "tail").drop("tail")
+        span *= 2
+
+
 def test_repeated_rows_and_null_ids(spark):
     line = "w " * 60
     rows = [(None, line + "\nx", 1), (1, "y\n" + line, 2), (1, "y\n" + line, 3), (2, line, 4)]
