@@ -4,12 +4,16 @@ Lists of neighbours start from small cells that random hyperplanes cut, and
 improve by joins with neighbours' neighbours until few change. Only neighbours
 near the threshold stay in a list. A list that is full of links (saturated) hides
 the farther ones, so links are also kept apart from the lists: each cell gives
-links that span its components, and the descent every link it meets. Groups come
-from both; a group's members are compared in blocks, so link counts within it
-are exact however dense it is. Dense cells are compared in blocks too, so a pair
-is only missed if no cut leaves it in one cell. An audit against brute force
-decides whether more cells are needed; if those don't do, all pairs of a label are
-compared.
+links that span its components, and the descent every link it meets. Groups are
+what these links connect; a group's members are compared in blocks, so link
+counts within it are exact however dense it is. Dense cells are compared in
+blocks too, so a pair is only missed if no cut leaves it in one cell; cuts grow
+with the logarithm of the rows, so that the chance of that stays the same.
+
+An audit measures recall: cuts of its own, by other hyperplanes, find vectors
+that do have close neighbours, whatever the graph holds; those are compared with
+all rows of their label. Under the target more cells are cut, and if that doesn't
+do, all pairs of a label are compared in blocks, which is exact.
 """
 
 from __future__ import annotations
@@ -38,9 +42,14 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
 
 
+def number(table: DataFrame, vec_col: str) -> str:
+    """Vectors keep their own precision: float stays float, all else is double. Cosines are always double."""
+    return "float" if table.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+
+
 def classes_of(table: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """(node, copies, label, h, vec): the distinct valid labelled vectors, each by its smallest id."""
-    v = F.col(vec_col).cast("array<float>")
+    v = F.col(vec_col).cast(f"array<{number(table, vec_col)}>")
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("vec")).where("id is not null and label is not null and vec is not null and size(vec) > 0")
     bad = F.exists("vec", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = rows.where(~bad & F.exists("vec", lambda c: c != 0)).withColumn("h", F.xxhash64("vec"))
@@ -85,7 +94,7 @@ def rounds_for(n: int, threshold: float, miss: float = 0.005) -> int:
 
 
 def first_lists(classes: DataFrame, n: int, rounds: range, k: int, floor: float, threshold: float, cell: int = 512) -> DataFrame:
-    """(u, v, sim, span): each vector's best ``k`` of its cell, for several cuts by random hyperplanes.
+    """(u, v, sim, span): each vector's best ``k`` of its cell (none for 0), for several cuts by random hyperplanes.
 
     Rows with span are links of ``threshold`` or more that connect all that the
     cell's links connect, however many better neighbours a vector has there.
@@ -110,8 +119,8 @@ def first_lists(classes: DataFrame, n: int, rounds: range, k: int, floor: float,
                         names=["code", "t", "d", "label", "node", "copies", "vec"],
                     )
 
-    kind = classes.schema["label"].dataType.simpleString()
-    cells = classes.select("label", "node", "copies", "vec").mapInArrow(cut, f"code long, t int, d int, label {kind}, node long, copies long, vec array<float>")
+    kind, vec = (classes.schema[c].dataType.simpleString() for c in ("label", "vec"))
+    cells = classes.select("label", "node", "copies", "vec").mapInArrow(cut, f"code long, t int, d int, label {kind}, node long, copies long, vec {vec}")
     cells = cells.withColumn("cell", F.xxhash64("label", "d", "t", "code"))
     cells = blocks(cells, "cell", 2 * cell, "vec")
 
@@ -126,7 +135,7 @@ def first_lists(classes: DataFrame, n: int, rounds: range, k: int, floor: float,
                 sims[side[:, None] == side[None, :]] = -2
             if sims.max() < floor:
                 continue
-            if not side[0]:
+            if not side[0] and k:
                 take = min(k, len(node) - 1)
                 near = np.argpartition(-sims, take - 1, axis=1)[:, :take]
                 s = np.take_along_axis(sims, near, 1)
@@ -236,13 +245,32 @@ def spread(hit: np.ndarray) -> np.ndarray:
     return lab
 
 
-def audit(spark: SparkSession, classes: DataFrame, counts: DataFrame, threshold: float, probes: int = 1000, linked: int = 200) -> float:
-    """The share of true links that were counted, for up to ``probes`` vectors, and ``linked`` of those with links, compared with all rows of their label.
+def close_vectors(scratch: Scratch, classes: DataFrame, n: int, threshold: float, linked: int, first_cut: int) -> DataFrame:
+    """(node): some vectors that have a link, found by cuts of their own.
+
+    Two cuts first, then as many as find all but one pair in two hundred: only a
+    table with hardly any link needs those.
+    """
+    most = rounds_for(n, threshold)
+    for cuts in (range(first_cut, first_cut + min(2, most)), range(first_cut + 2, first_cut + most)):
+        spans = first_lists(classes, n, cuts, 0, threshold, threshold).where("span")
+        near = scratch.table(spans.select("u").union(spans.select("v")).toDF("node").distinct(), "near")
+        if near.limit(linked).count() == linked:
+            break
+    return near
+
+
+def audit(spark: SparkSession, classes: DataFrame, counts: DataFrame, threshold: float, probes: int = 200, linked: int = 200, first_cut: int = 1 << 20) -> float:
+    """The share of true links that were counted, for three bounded samples of vectors compared with all rows of their label.
 
-    The lower of the share of links and its mean over vectors, in which a pair weighs as much as a dense group.
+    ``linked`` vectors that cuts of the audit's own show to have a link, as many of
+    those with counted links, and ``probes`` of all. The lower of the share of links
+    and its mean over vectors, in which a pair weighs as much as a dense group; 1
+    where none of them has a link, which says that the table has next to none.
     """
+    near = close_vectors(Scratch(spark, "audit"), classes, classes.count(), threshold, linked, first_cut)
     draw = lambda t, m: t.select("node", F.col("label").cast("string").alias("label"), "vec").orderBy(F.xxhash64("node", F.lit(13))).limit(m)
-    half = draw(classes, probes).unionByName(draw(classes.join(counts.where("links > 0"), "node", "left_semi"), linked)).dropDuplicates(["node"]).toArrow()
+    half = draw(classes, probes).unionByName(draw(classes.join(near, "node", "left_semi"), linked)).unionByName(draw(classes.join(counts.where("links > 0"), "node", "left_semi"), linked)).dropDuplicates(["node"]).toArrow()
     node, label = np.array(half.column("node")), np.array(half.column("label"))
     vecs = [np.array(v, float) for v in half.column("vec").to_pylist()]
 
@@ -274,28 +302,29 @@ def near_duplicates(
     """Links of cosine ``threshold`` or more between vectors of one label.
 
     Returns (id, n_links, component_id, kept) for each row of ``table``, and the
-    audited recall. Equal vectors of a label are one node with a count. Vectors
+    audited recall, which is ``recall`` or more. Equal vectors of a label are one node with a count. Vectors
     null, zero, non-finite or with null components, and rows without id or label,
     link with nothing; vectors of different lengths neither. Rows that repeat an
     id count as vectors of their own. Where the audit finds under ``recall`` of
     the links, twice as many first cells are cut and the graph refined again; where
-    that doesn't do either, all pairs of a label are compared.
+    that doesn't do either, all pairs of a label are compared, exact at the cost of
+    the square of a label. An empty table gives no rows.
     """
     scratch = Scratch(spark, "nn")
     classes = scratch.table(classes_of(table, id_col, vec_col, label_col), "classes")
     n, floor = classes.count(), threshold - slack
     graph, spans, done, reached, total = None, [], 0, 0.0, max(first_rounds, rounds_for(n, threshold))
-    for _ in range(3):
+    for attempt in range(3):
         cells = scratch.table(first_lists(classes, n, range(done, total), k, floor, threshold), "cells")
         lists = cells.where("not span").drop("span")
         graph, links = descend(scratch, classes, lists if graph is None else graph.unionByName(lists), k, floor, threshold)
         spans += [cells.where("span").select("u", "v"), *links]
-        edges = graph.select("u", "v")
+        edges = graph.where(F.col("sim") >= threshold).select("u", "v")  # nearer neighbours than links only guide the descent
         for s in spans:
             edges = edges.unionByName(s)
         parts = scratch.table(count_links(scratch, classes, edges, threshold), "parts")
         counts = scratch.table(parts.groupBy("node").agg(F.sum("links").alias("links")), "counts")
-        reached = audit(spark, classes, counts, threshold)
+        reached = audit(spark, classes, counts, threshold, first_cut=(attempt + 1) << 20)  # other cuts each time
         if reached >= recall:
             break
         done, total = total, 2 * total
@@ -307,7 +336,7 @@ def near_duplicates(
     known = classes.join(counts, "node", "left").join(roots, "node", "left")
     known = scratch.table(known.select("label", "h", "vec", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id")), "known")
     # ids that can't link have no class: a left join on keys that are null for them
-    v = F.col(vec_col).cast("array<float>")
+    v = F.col(vec_col).cast(f"array<{number(table, vec_col)}>")
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("vec")).withColumn("h", F.xxhash64("vec"))
     alone = F.when(F.col("id").isNull(), None)
     rows = rows.withColumn("h", F.when(F.col("id").isNotNull(), F.col("h")))

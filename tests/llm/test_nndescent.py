@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from courtflow.llm.nndescent import near_duplicates, spread
+from courtflow.llm.common import Scratch
+from courtflow.llm.nndescent import audit, cell_bits, classes_of, first_lists, near_duplicates, rounds_for, spread
 
 
 def data(seed=0, n=700):
@@ -111,6 +112,52 @@ def test_lone_pairs_in_a_dense_cone(spark, monkeypatch):
     assert {r["id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == want
 
 
+def sparse(n=3000, pairs=30, seed=5):
+    """Vectors without a link, and lone pairs of cosine 0.983."""
+    g = np.random.default_rng(seed)
+    x = g.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    e = g.normal(size=(pairs, 64))
+    e -= (e * x[:pairs]).sum(1)[:, None] * x[:pairs]
+    e /= np.linalg.norm(e, axis=1)[:, None]
+    x[-pairs:] = 0.983 * x[:pairs] + np.sqrt(1 - 0.983**2) * e
+    return [(i, v.tolist(), 1) for i, v in enumerate(x)]
+
+
+def test_audit_sees_what_a_graph_lacks(spark):
+    """An empty link table has no recall, though few of the vectors drawn at large have a link."""
+    rows = sparse()
+    s = Scratch(spark, "t")
+    classes = s.table(classes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "vec_id", "embedding", "label"), "classes")
+    counts = lambda r: spark.createDataFrame(r, "node long, links long")
+    assert audit(spark, classes, counts([]), 0.98) == 0
+    whole = [(i, 1) for i in [*range(30), *range(2970, 3000)]]
+    assert audit(spark, classes, counts(whole), 0.98) == 1
+    assert 0.3 < audit(spark, classes, counts(whole[:30]), 0.98) < 0.7
+
+
+def test_lone_pairs_are_found_at_any_size(spark):
+    """The cuts that a table of a billion vectors gets leave hardly a pair apart, though its cells are far smaller."""
+    rows = sparse()
+    s = Scratch(spark, "t")
+    classes = s.table(classes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "vec_id", "embedding", "label"), "classes")
+    n = 10**9
+    assert cell_bits(n) == 23
+    found = first_lists(classes, n, range(rounds_for(n, 0.98)), 12, 0.95, 0.98).where("span").select("u", "v").distinct().collect()
+    assert len({tuple(sorted((r["u"], r["v"]))) for r in found} & {(i, 2970 + i) for i in range(30)}) >= 29
+    out, info = near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {r["id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == brute(rows)
+    assert info["recall"] == 1
+
+
+def test_vectors_of_doubles_are_not_narrowed(spark):
+    """A cosine just under the threshold in double, over it in float."""
+    t = 0.98 - 1e-9
+    rows = [(1, [1.0, 0.0], 0), (2, [t, float(np.sqrt(1 - t * t))], 0)]
+    out, _ = near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted((r["id"], r["n_links"]) for r in out.collect()) == [(1, 0), (2, 0)]
+
+
 def test_spread():
     hit = np.zeros((6, 6), bool)
     for a, b in ((0, 3), (3, 5), (1, 2)):
