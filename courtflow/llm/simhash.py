@@ -23,38 +23,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch, components, rows_of, with_bytes, words_of
-from .nndescent import blocks, spread
+from .nndescent import spread
 
 _FP = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _HASH_ROWS = 1 << 16
 
 
-def fingerprint_bytes(body: bytes | None, shingle: int = 4, bits: int = 64, seed: int = 42) -> bytes:
-    """The SimHash of a text: a bit is 1 if set in over half of its shingles' XXH64 (or 128-bit XXH3)."""
-    digest = {64: xxhash.xxh64_digest, 128: xxhash.xxh3_128_digest}[bits]
+def fingerprint(body: bytes | None, shingle: int = 4, seed: int = 42) -> int:
+    """The SimHash of a text, as a signed number: a bit is 1 if set in over half of its shingles' XXH64."""
     words = words_of(body)
     if not words:
-        return bytes(bits // 8)
+        return 0
     if len(words) < shingle:
         shingles = iter([b" ".join(words)])
         n = 1
     else:
         n = len(words) - shingle + 1
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    counts = np.zeros(bits, np.int64)
+    counts = np.zeros(64, np.int64)
     left = n
     while left:
         take = min(left, _HASH_ROWS)
-        raw = b"".join(map(digest, (next(shingles) for _ in range(take)), repeat(seed)))
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, bits).sum(0, dtype=np.int64)
+        raw = b"".join(map(xxhash.xxh64_digest, (next(shingles) for _ in range(take)), repeat(seed)))
+        counts += np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
         left -= take
-    return np.packbits(counts * 2 > n).tobytes()
-
-
-def fingerprint(body: bytes | None, shingle: int = 4) -> int:
-    """The 64-bit SimHash as a signed number."""
-    return int.from_bytes(fingerprint_bytes(body, shingle), "big", signed=True)
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,42 +209,56 @@ def near_links(classes: DataFrame, radius: int = 4, hot: int = 16384) -> DataFra
 
 
 def similar_radius(similarity: float, bits: int, deviations: float = 4.0) -> int:
-    """Differing bits that pairs of this Jaccard similarity stay within: the mean and ``deviations`` standard deviations.
+    """Differing bits that sets of this Jaccard similarity stay within: the mean and ``deviations`` standard deviations.
 
-    Shingle vectors of Jaccard similarity J have a cosine of about 2J/(1+J), and
-    each bit differs with the angle's share of a half turn.
+    Indicator vectors of similarity J have a cosine of about 2J/(1+J), and each bit
+    differs with the angle's share of a half turn; with a quarter more where the sets
+    are small (at 0.8: four shingles against five).
     """
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    p = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
 
 
-def sampled_shards(classes: DataFrame, bits: int, differ: float, n: int, per_shard: int = 64, miss: float = 0.005) -> DataFrame:
-    """(shard, node, fp): a shard for each of ``tables`` fixed choices of bits, wide enough for small shards.
+def band_count(similarity: float, width: int, miss: float = 1e-3) -> int:
+    """Bands of ``width`` MinHash values so that sets of this similarity share none with probability ``miss`` at most."""
+    return int(np.ceil(np.log(miss) / np.log1p(-min(similarity**width, 1 - 1e-12))))
 
-    Pairs whose bits differ at the rate ``differ``, so by a binomial number of bits,
-    share no shard with probability ``miss`` at most; closer pairs, far less.
-    """
-    width = int(np.clip(np.ceil(np.log2(max(n, 2) / per_shard)), 4, 28))
-    d = np.arange(bits + 1)
-    chance = np.array([comb(bits, int(i)) * differ**i * (1 - differ) ** (bits - i) for i in d], float)
-    apart, tables = 1 - (1 - d / bits) ** width, 1
-    while (chance * apart**tables).sum() > miss:
-        tables += 1
-    rng = np.random.default_rng(20)
-    picks = [rng.choice(bits, width, replace=False) for _ in range(tables)]
-    schema = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("fp", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            raw = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            bit = np.unpackbits(raw, axis=1).astype(np.int64)
-            for t, p in enumerate(picks):
-                key = bit[:, p] @ (1 << np.arange(width)) + (t << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("node"), b.column("fp")], schema=schema)
+def _mix(h: np.ndarray, key: int) -> np.ndarray:
+    """64-bit hashes hashed again (a splitmix step)."""
+    z = h + np.uint64(key * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-    return classes.select("node", "fp").mapInArrow(run, "shard long, node long, fp binary")
+
+class Sketch:
+    """What a set of shingle hashes is compared by before its shingles are: a 128-bit SimHash, and MinHash bands as shards.
+
+    Bands don't widen with the corpus, so their number doesn't grow with it, and only
+    texts that share shingles meet in one.
+    """
+
+    def __init__(self, similarity: float, width: int = 4):
+        self.bands, self.width = band_count(similarity, width), width
+        rng = np.random.default_rng(11)
+        self.odd = rng.integers(0, 1 << 63, self.bands * width, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def of(self, hashes: np.ndarray, rows: int = 4096) -> tuple[bytes, list[int]]:
+        if not len(hashes):
+            return bytes(16), []
+        h = hashes.view(np.uint64)
+        counts, least = np.zeros(128, np.int64), np.full(len(self.odd), np.iinfo(np.uint64).max, np.uint64)
+        with np.errstate(over="ignore"):
+            for lo in range(0, len(h), rows):
+                x = h[lo : lo + rows]
+                both = np.stack([_mix(x, 1), _mix(x, 2)], 1)
+                counts += np.unpackbits(both.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+                np.minimum(least, _mix(np.multiply.outer(self.odd, x), 0).min(1), out=least)
+        # of the bits that half of the shingles have, every other is set, so that small sets of an even size don't lean to zeros
+        on = np.where(counts * 2 == len(h), np.arange(128) % 2, counts * 2 > len(h))
+        keys = [xxhash.xxh3_64_intdigest(least[i : i + self.width].tobytes(), i) for i in range(0, len(least), self.width)]
+        return np.packbits(on.astype(np.uint8)).tobytes(), [k - (1 << 64) if k >= 1 << 63 else k for k in keys]
 
 
 def shingle_set(body: bytes | None, shingle: int) -> np.ndarray:
@@ -279,11 +287,13 @@ def similar_sets(sets: list[np.ndarray], similarity: float, width: int = 4096) -
     return both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
 
 
-def verified_links(docs: DataFrame, members: DataFrame, shingle: int, similarity: float, block: int = 256) -> DataFrame:
-    """(a, b): links that span the components of the pairs of a group whose shingle sets are similar enough.
+def verified_links(scratch: Scratch, docs: DataFrame, members: DataFrame, shingle: int, similarity: float, block: int = 256) -> DataFrame:
+    """(a, b): links that span what a similarity of ``similarity`` or more connects within each proposed group.
 
-    ``docs`` has (id, tie, body), ``members`` (root, node, m_id, m_tie). All pairs of a group are
-    compared, those of large groups in blocks.
+    ``docs`` has (id, tie, body), ``members`` (root, node, m_id, m_tie). Every member is
+    compared with its group's root first, which settles most groups at a cost in
+    proportion to their size. Members that are not like the root are then compared,
+    in blocks, with all of the group; pairs that the root links need no look.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +302,31 @@ def verified_links(docs: DataFrame, members: DataFrame, shingle: int, similarity
             yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array(got, pa.list_(pa.int64()))], names=["root", "node", "parts"])
 
     rows = docs.join(members, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("tie") == F.col("m_tie")))
-    rows = rows.select("root", "node", "body").mapInArrow(sets, "root long, node long, parts array<long>").dropDuplicates(["node"])
+    rows = scratch.table(rows.select("root", "node", "body").mapInArrow(sets, "root long, node long, parts array<long>").dropDuplicates(["node"]), "sets")
+
+    def like_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for lo in range(0, b.num_rows, 256):
+                x, y = (b.column(c).slice(lo, 256) for c in ("parts", "center"))
+                for p, q in zip(x, y, strict=True):
+                    p, q = p.values.to_numpy(), q.values.to_numpy()
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    near.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("node"), pa.array(near, pa.bool_())], names=["root", "node", "near"])
+
+    centers = rows.where("node = root").select("root", F.col("parts").alias("center"))
+    star = rows.where("node <> root").join(centers, "root").select("root", "node", "parts", "center").mapInArrow(like_root, "root long, node long, near boolean")
+    star = scratch.table(star, "star")
+    links = star.where("near").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    per = star.groupBy("root").agg(F.ceil(F.count_if(~F.col("near")) / block).alias("apart"), F.ceil((F.count_if("near") + 1) / block).alias("like")).where("apart > 0")
+    if per.limit(1).count() == 0:
+        return links
+    left = rows.join(per, "root").join(star.where("near").select("node", F.lit(True).alias("near")), "node", "left").withColumn("near", F.coalesce("near", F.col("node") == F.col("root")))
+    own = F.when(F.col("near"), F.col("apart") + F.pmod(F.xxhash64("node", F.lit(9)), F.col("like"))).otherwise(F.pmod(F.xxhash64("node", F.lit(9)), F.col("apart")))
+    left = left.withColumn("cut", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("near"), F.col("apart") - 1).otherwise(F.col("apart") + F.col("like") - 1))))
+    side = F.when(F.col("cut") == F.col("other"), 0).when(F.col("cut") < F.col("other"), 1).otherwise(2)
+    left = left.select(F.xxhash64("root", F.least("cut", "other"), F.greatest("cut", "other")).alias("block"), side.cast("byte").alias("side"), "node", "parts")
 
     def compare(t: pa.Table) -> pa.Table:
         node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
@@ -304,41 +338,48 @@ def verified_links(docs: DataFrame, members: DataFrame, shingle: int, similarity
         far = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": node[far], "b": node[root[far]]}, schema=_LINK)
 
-    return blocks(rows.withColumnRenamed("root", "grp"), "grp", block, "parts").groupBy("block").applyInArrow(compare, "a long, b long")
+    return links.unionByName(left.groupBy("block").applyInArrow(compare, "a long, b long"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of their sets of word shingles of ``similarity`` or more.
 
-    Wider fingerprints than 64 bits keep a radius that reaches ``similarity``
-    far from what unrelated texts differ by; they only propose groups, whose
-    pairs are then compared by their sets. Returns (id, tie, copies, keep) for
-    each distinct (id, text), ``tie`` being xxhash64 of the text: keep is true for
-    the smallest of each group. Texts of one set of shingles fold first.
+    A BK-tree over 128-bit SimHashes in each shard proposes groups; shards are MinHash
+    bands, of a number that depends on ``similarity`` alone (a pair at it shares none
+    with probability 0.001 at most, and lies beyond the radius far less often).
+    Members are then compared by their sets. Returns (id, tie, copies, keep) for each
+    distinct (id, text), ``tie`` being xxhash64 of the text: keep is true for the
+    smallest id of each group (null ids last). Texts of one set of shingles fold
+    first; so all null, empty and blank texts, whose sets are empty, are one group.
+    Texts of fewer words than a shingle are one shingle. Repeated rows are counted in
+    copies; an empty table gives no rows.
     """
-    scratch = Scratch(spark, "near")
+    scratch, sketch = Scratch(spark, "near"), Sketch(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, nodes = [], []
+            fps, bands, nodes = [], [], []
             for (body,) in rows_of([b], "body"):
-                fps.append(fingerprint_bytes(body, shingle, bits))
-                nodes.append(int.from_bytes(xxhash.xxh3_64_digest(shingle_set(body, shingle).tobytes()), "big", signed=True))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tie"), pa.array(fps, pa.binary()), pa.array(nodes, pa.int64())], names=["id", "tie", "fp", "node"])
+                parts = shingle_set(body, shingle)
+                fp, band = sketch.of(parts)
+                fps.append(fp)
+                bands.append(band)
+                nodes.append(int.from_bytes(xxhash.xxh3_64_digest(parts.tobytes()), "big", signed=True))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tie"), pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "tie", "node", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).cast("binary").alias("body"))
-    prints = scratch.table(rows.mapInArrow(run, "id long, tie long, fp binary, node long").groupBy("id", "tie", "fp", "node").agg(F.count("*").alias("copies")), "prints")
-    classes = scratch.table(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("rep")), "classes")
-    radius = similar_radius(similarity, bits)
-    links = shard_links(sampled_shards(classes, bits, similar_radius(similarity, bits, 0) / bits, classes.count()), radius)
-    near = components(scratch, links)
+    prints = scratch.table(rows.mapInArrow(run, "id long, tie long, node long, fp binary, bands array<long>"), "prints")
+    copies = prints.groupBy("id", "tie", "node").agg(F.count("*").alias("copies"))
+    # a set's prints depend on the set alone
+    classes = scratch.table(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("rep")), "classes")
+    near = components(scratch, shard_links(classes.select(F.explode("bands").alias("shard"), "node", "fp"), similar_radius(similarity, 128)))
     members = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     members = scratch.table(members.join(classes, "node").select("root", "node", F.col("rep.id").alias("m_id"), F.col("rep.tie").alias("m_tie")), "members")
-    roots = components(scratch, scratch.table(verified_links(rows, members, shingle, similarity), "verified"))
+    roots = components(scratch, scratch.table(verified_links(scratch, rows, members, shingle, similarity), "verified"))
     rooted = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "rep")
     best = rooted.groupBy("root").agg(F.min("rep").alias("rep")).select("rep.id", "rep.tie")
     best = scratch.table(best.withColumn("kept", F.lit(True)).toDF("b_id", "b_tie", "kept"), "best")
-    joined = prints.join(best, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("tie") == F.col("b_tie")), "left")
+    joined = copies.join(best, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("tie") == F.col("b_tie")), "left")
     return joined.select("id", "tie", "copies", F.coalesce("kept", F.lit(False)).alias("keep"))
 
 

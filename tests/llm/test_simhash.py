@@ -156,3 +156,52 @@ def test_near_duplicates_against_all_pairs(spark):
             rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
     got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {x["id"] for x in got if x["keep"]} == kept
+
+
+def test_short_texts_and_members_unlike_the_root(spark, monkeypatch):
+    """Texts of four to twelve shingles that differ by a word at the end; chains whose members aren't all like their root, in blocks of three."""
+    from courtflow.llm import simhash
+
+    real = simhash.verified_links
+    monkeypatch.setattr(simhash, "verified_links", lambda *a: real(*a, block=3))
+    r = random.Random(12)
+    vocab = [f"v{i}" for i in range(5000)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+    rows = []
+    for n in [*range(4, 17)] * 3:
+        a = [r.choice(vocab) for _ in range(n)]
+        rows += [a, [*a, "end"], [*a, "other", "end"]]
+    for _ in range(6):  # a chain: each is like the next two, the last not like the first
+        a = [r.choice(vocab) for _ in range(150)]
+        for k in range(12):
+            rows.append(a[k * 7 :] + [f"{k}x{j}" for j in range(k * 7)])
+    sets = [shingles(t) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                p, q = sorted((find(i), find(j)))
+                root[q] = p
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    df = spark.createDataFrame([(i, " ".join(rows[i])) for i in order], "doc_id long, text string")
+    got = simhash.near_duplicates(spark, df).collect()
+    assert {x["id"] for x in got if x["keep"]} == {find(i) for i in range(len(rows))}
+
+
+def test_bands_leave_few_pairs_apart():
+    from courtflow.llm.simhash import Sketch, band_count
+
+    assert (1 - 0.8**4) ** band_count(0.8, 4) <= 1e-3
+    g, sketch, met = np.random.default_rng(3), Sketch(0.8), 0
+    for _ in range(400):
+        x = g.integers(0, 1 << 62, 110)
+        a, b = np.unique(x[:100]), np.unique(np.append(x[:89], x[100:]))  # 89 of 110
+        met += bool(set(sketch.of(a)[1]) & set(sketch.of(b)[1]))
+    assert met >= 397
