@@ -1,15 +1,16 @@
 """Language-model scores: the marginal probability of a text over all subword segmentations.
 
 A word's lattice has an arc for every piece of an existing subword vocabulary
-that matches, and one arc for the whole word if training saw it. The vocabulary's
-own scores (ranks) give the pieces' prior, and expected uses over all distinct
-training words (EM on the lattice) their weights; whole-word arcs weigh as their
-training counts do, and Witten-Bell's rule shares the mass: of N tokens with V
-distinct, whole words get N/(N+V) and spellings V/(N+V). A forward recursion in
-log space sums all ways to spell a word; a spelling closes with a stop, and an
-empty spelling is the end of the text. Pieces don't cross white space, so a
-text's probability is the product of its words' and its end's, and the
-probabilities of all texts sum to one at most.
+that matches, weighted by the piece's probability. The vocabulary's own scores
+give these: a unigram file's scores are log probabilities; a file that only ranks
+its pieces (whole numbers, best first) gets the probabilities of Zipf's law by
+rank. Training words move the weights by expectation-maximization over all
+segmentations, with the vocabulary's as prior; the score under the vocabulary's
+own weights is given beside. A forward recursion in log space sums all ways to
+spell a word; a word closes with a stop, and a stop without a spelling is the end
+of the text. Pieces don't cross white space, so a text's probability is the
+product of its words' and its end's, and the probabilities of all texts sum to
+one at most.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ from .common import Scratch, batch, rows_of, words_of
 _SPACE = "▁".encode()
 _WORD = pa.schema([("word", pa.binary()), ("train", pa.int64()), ("total", pa.int64())])
 _PIECE = pa.schema([("piece", pa.int32()), ("n", pa.float64())])
-_LAT = pa.schema([("word", pa.binary()), ("train", pa.int64()), ("total", pa.int64()), ("lattice", pa.float64())])
-_PART = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+_LAT = pa.schema([*_WORD, ("own", pa.float64()), ("lattice", pa.float64())])
+_PART = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("own", pa.float64()), ("score", pa.float64())])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Vocabulary:
-    """Pieces as bytes with prior weights; one hash table for each length in bytes.
+    """Pieces as bytes with their own probabilities; one hash table for each length in bytes.
 
     ``starts`` marks pieces that open with the word mark: they match at a word's
     start only. The last entry of ``prior`` is the stop that closes a word.
@@ -61,17 +62,27 @@ def _hash(a: np.ndarray) -> np.ndarray:
     return h
 
 
-def make_vocabulary(scored: list[tuple[bytes, float]]) -> Vocabulary:
-    """From (piece, score): scores order the pieces, and the prior falls with the rank as word frequencies do."""
+def make_vocabulary(scored: list[tuple[bytes, float]], stop: float = 0.25) -> Vocabulary:
+    """From (piece, score): probabilities by the scores, of which ``stop`` goes to the stop.
+
+    Every byte can be spelled, so no text has probability zero: bytes that the
+    vocabulary lacks, or has no score for, get the least of its pieces' weights.
+    """
     seen: dict[bytes, float] = {}
     for p, s in scored:
         if p and _SPACE not in p[1:] and not any(65 <= c <= 90 for c in p):
             seen[p] = max(s, seen.get(p, -math.inf))
-    for c in range(256):  # every byte can be spelled, so no text has probability zero
+    known = {s for s in seen.values() if s > -math.inf}
+    ranks = all(float(s).is_integer() for s in known)
+    for c in range(256):
         seen.setdefault(bytes([c]), -math.inf)
     pieces = sorted(seen, key=lambda p: (-seen[p], p))
-    prior = 1 / (np.arange(len(pieces) + 1) + 2.7)
-    prior[-1] = 1 / 100  # the stop
+    top = max(known, default=0.0)
+    weight = np.array([seen[p] for p in pieces])
+    weight = np.where(weight > -math.inf, weight, min(known, default=0.0))
+    # fixed value: the shift of Zipf's law for words, 2.7
+    prior = 1 / (top - weight + 2.7) if ranks else np.exp(weight - top)
+    prior = np.append((1 - stop) * prior / prior.sum(), stop)
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in sorted({len(p) for p in pieces}):
         at = np.array([i for i, p in enumerate(pieces) if len(p) == size])
@@ -79,7 +90,7 @@ def make_vocabulary(scored: list[tuple[bytes, float]]) -> Vocabulary:
         order = np.argsort(h)
         tables[size] = (h[order], at[order])
     starts = np.array([p.startswith(_SPACE) for p in pieces] + [False])
-    return Vocabulary(pieces, prior / prior.sum(), tables, starts)
+    return Vocabulary(pieces, prior, tables, starts)
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -184,11 +195,10 @@ def word_counts(docs: DataFrame, keep: int = 200_000) -> DataFrame:
     return got.groupBy("word").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
 
 
-def fit(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary, rounds: int = 2, strength: float = 1000.0) -> np.ndarray:
-    """Piece probabilities by EM over all distinct training words; the prior counts as ``strength`` uses.
+def fit(spark: SparkSession, words: DataFrame, ends: int, vocabulary: Vocabulary, rounds: int = 2, strength: float = 1000.0) -> np.ndarray:
+    """Piece probabilities by EM over all training words with their counts, and ``ends`` texts' ends; the vocabulary's own count as ``strength`` uses.
 
-    Spellings stand in for words not seen before, so each word counts once. Each
-    task adds up expected uses; one number for each piece reaches the driver.
+    Each task adds up expected uses; one number for each piece reaches the driver.
     """
     p = vocabulary.prior
     given = spark.sparkContext.broadcast(vocabulary)
@@ -197,51 +207,51 @@ def fit(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary, rounds: i
         def run(batches: Iterator[pa.RecordBatch], p: np.ndarray = p) -> Iterator[pa.RecordBatch]:
             v, logp, total = given.value, _log(p), np.zeros(len(p))
             for b in batches:
+                counts = b.column("train").to_numpy().astype(float)
                 for at, lat in lattices(v, b.column("word").to_pylist()):
-                    lat.expected(logp, np.ones(len(at)), total)
-                total[v.stop] += b.num_rows
+                    lat.expected(logp, counts[at], total)
+                total[v.stop] += counts.sum()
             seen = np.flatnonzero(total)
             yield batch(_PIECE, piece=seen, n=total[seen])
 
         uses = vocabulary.prior * strength
-        for r in words.where("train > 0").select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator():
+        uses[vocabulary.stop] += ends
+        for r in words.where("train > 0").select("word", "train").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toLocalIterator():
             uses[r["piece"]] += r["n"]
         p = uses / uses.sum()
     given.unpersist()
     return p
 
 
-def score_words(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary, p: np.ndarray, n: int, distinct: int) -> DataFrame:
-    """``words`` with lattice: log10 of each word's marginal probability, where ``n`` tokens, ``distinct`` distinct, were trained on."""
-    given = spark.sparkContext.broadcast((vocabulary, _log(p)))
-    stop = math.log(p[vocabulary.stop])
-    whole, spelt = (-math.log(n + distinct), math.log(distinct / (n + distinct))) if n else (-math.inf, 0.0)
+def score_words(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary, p: np.ndarray) -> DataFrame:
+    """``words`` with log10 of each word's marginal probability: own, by the vocabulary's weights, and lattice, by ``p``."""
+    given = spark.sparkContext.broadcast((vocabulary, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, logp = given.value
+        v, learnt = given.value
         for b in batches:
-            out = np.zeros(b.num_rows)
+            out = np.zeros((2, b.num_rows))
             for at, lat in lattices(v, b.column("word").to_pylist()):
-                out[at] = lat.forward(logp)[:, -1]
-            with np.errstate(divide="ignore"):
-                out = np.logaddexp(np.log(b.column("train").to_numpy()) + whole, out + stop + spelt) / math.log(10)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], schema=_LAT)
+                for k, weights in enumerate((v.prior, learnt)):
+                    out[k, at] = (lat.forward(_log(weights))[:, -1] + math.log(weights[v.stop])) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out[0]), pa.array(out[1])], schema=_LAT)
 
-    return words.select("word", "train", "total").mapInArrow(run, "word binary, train long, total long, lattice double")
+    return words.select("word", "train", "total").mapInArrow(run, "word binary, train long, total long, own double, lattice double")
 
 
 def score_documents(
-    spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, held_out: Column, head: int = 200_000, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, held_out: Column, head: int = 200_000, head_bytes: int = 64, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Score whole texts with a model learnt from the rows where ``held_out`` is not true.
 
     Returns one row for each input row: id, held_out, n_tokens (words and one
     end), n_known (tokens seen in training), train_tokens, base_score (add-half
     word frequencies, log10) and score (log10 of the lattice model's marginal
-    probability). The ``head`` most frequent words, a fixed number, are broadcast
-    and summed in place; rarer words are joined by a shuffle, and none of those
-    keys can be hot. Null and empty texts hold the end alone. Without training
-    rows the vocabulary's prior is the model; an empty table gives no rows.
+    probability) and own_score (the same by the vocabulary's own weights). The
+    ``head`` most frequent words of at most ``head_bytes`` bytes, so a bounded
+    table, are broadcast and summed in place; other words are joined by a shuffle.
+    Null and empty texts hold the end alone. Without training rows the vocabulary's
+    own weights are the model; an empty table gives no rows.
     """
     scratch = Scratch(spark, "lm")
     # held_out may be null where the id is: those rows train
@@ -250,34 +260,34 @@ def score_documents(
     n_ends = rows.where(~F.col("held_out")).count()
     seen = counts.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count_if(F.col("train") > 0).alias("v")).first()
     n, v = seen["n"] + n_ends, seen["v"] + (n_ends > 0)
-    p = fit(spark, counts, vocabulary, rounds)
-    words = scratch.table(score_words(spark, counts, vocabulary, p, n, v), "words")
+    p = fit(spark, counts, n_ends, vocabulary, rounds)
+    words = scratch.table(score_words(spark, counts, vocabulary, p), "words")
     scratch.drop(counts)
     bottom = math.log10(n + 0.5 * (v + 1))
-    top = words.orderBy(F.desc("total"), "word").limit(head).toArrow()
+    top = words.where(F.octet_length("word") <= head_bytes).orderBy(F.desc("total"), "word").limit(head).toArrow()
     base_of = np.log10(np.array(top["train"], float) + 0.5) - bottom
-    known = spark.sparkContext.broadcast((top["word"].to_pylist(), np.array(top["train"]) > 0, base_of, np.array(top["lattice"], float)))
-    p_end = (n_ends + v * p[vocabulary.stop]) / (n + v) if n else p[vocabulary.stop]
-    end = (int(n_ends > 0), math.log10(n_ends + 0.5) - bottom, math.log10(p_end))
+    known = spark.sparkContext.broadcast((top["word"].to_pylist(), np.array(top["train"]) > 0, base_of, np.array(top["own"], float), np.array(top["lattice"], float)))
+    end = (int(n_ends > 0), math.log10(n_ends + 0.5) - bottom, math.log10(vocabulary.prior[vocabulary.stop]), math.log10(p[vocabulary.stop]))
     cache: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "head" not in cache:
-            names, k, b, s = known.value
-            cache["head"] = dict(zip(names, zip(k.tolist(), b.tolist(), s.tolist(), strict=True), strict=True))
+            names, *values = known.value
+            cache["head"] = dict(zip(names, zip(*(v.tolist() for v in values), strict=True), strict=True))
         get = cache["head"].get
         out: list[tuple] = []
         for row, i, held, body in rows_of(batches, "row", "id", "held_out", "body"):
-            n_words, k, b, s = 0, *end
+            n_words, k, b, o, s = 0, *end
             for w, c in Counter(words_of(body)).items():
                 n_words += c
                 if (got := get(w)) is None:
-                    out.append((row, None, None, w, c, None, None, None))
+                    out.append((row, None, None, w, c, None, None, None, None))
                 else:
                     k += c * got[0]
                     b += c * got[1]
-                    s += c * got[2]
-            out.append((row, i, held, None, n_words + 1, k, b, s))
+                    o += c * got[2]
+                    s += c * got[3]
+            out.append((row, i, held, None, n_words + 1, k, b, o, s))
             if len(out) > 20_000:
                 yield batch(_PART, **dict(zip(_PART.names, zip(*out, strict=True), strict=True)))
                 out = []
@@ -285,11 +295,12 @@ def score_documents(
             yield batch(_PART, **dict(zip(_PART.names, zip(*out, strict=True), strict=True)))
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "held_out", "body")
-    parts = scratch.table(numbered.mapInArrow(run, "row long, id long, held_out boolean, word binary, n long, known long, base double, score double"), "parts")
-    rare = parts.where("word is not null").select("row", "word", "n").join(words.select("word", "train", "lattice"), "word")
+    parts = scratch.table(numbered.mapInArrow(run, "row long, id long, held_out boolean, word binary, n long, known long, base double, own double, score double"), "parts")
+    rare = parts.where("word is not null").select("row", "word", "n").join(words.select("word", "train", "own", "lattice"), "word")
     rare = rare.groupBy("row").agg(
         F.sum(F.col("n") * (F.col("train") > 0).cast("long")).alias("known_rare"),
         F.sum(F.col("n") * (F.log10(F.col("train") + 0.5) - bottom)).alias("base_rare"),
+        F.sum(F.col("n") * F.col("own")).alias("own_rare"),
         F.sum(F.col("n") * F.col("lattice")).alias("score_rare"),
     )
     zero = F.lit(0)
@@ -301,4 +312,5 @@ def score_documents(
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base_rare", zero)).alias("base_score"),
         (F.col("score") + F.coalesce("score_rare", zero)).alias("score"),
+        (F.col("own") + F.coalesce("own_rare", zero)).alias("own_score"),
     )

@@ -83,23 +83,29 @@ def test_scores_against_plain_python(spark, head):
     p = v.prior
     for _ in range(2):
         uses = v.prior * 1000
-        for w in train:
+        uses[v.stop] += train[None]
+        for w, c in train.items():
             if w is not None:
                 for _, lat in lattices(v, [w]):
-                    lat.expected(_log(p), np.array([1.0]), uses)
-                uses[v.stop] += 1
+                    lat.expected(_log(p), np.array([float(c)]), uses)
+                uses[v.stop] += c
         p = uses / uses.sum()
+    # marginals by every segmentation where they can be listed, by the recursion else
     lattice = {}
     for w in {w for _, t, _ in data for w in toks(t)}:
-        spelt = math.exp(next(lat.forward(_log(p))[0, -1] for _, lat in lattices(v, [w]))) * p[v.stop]
-        lattice[w] = math.log10((train.get(w, 0) + vocab * spelt) / (n + vocab)) if spelt or w in train else None
-    end = math.log10((train[None] + vocab * p[v.stop]) / (n + vocab))
+        for k, q in enumerate((p, v.prior)):
+            if len(w) < 12:
+                total = math.log(sum(math.exp(sum(math.log(q[i]) for i in s)) for s in ways(v, w)))
+            else:
+                total = next(lat.forward(_log(q))[0, -1] for _, lat in lattices(v, [w]))
+            lattice[w, k] = (total + math.log(q[v.stop])) / math.log(10)
+    ends = [math.log10(q[v.stop]) for q in (p, v.prior)]
     want = []
     for i, t, _ in data:
         ts = [*toks(t), None]
         base = sum(math.log10((train.get(w, 0) + 0.5) / (n + 0.5 * (vocab + 1))) for w in ts)
-        want.append((-1 if i is None else i, held(i), len(ts), sum(w in train for w in ts), n, base, sum(lattice[w] for w in ts[:-1]) + end))
-    got = sorted((-1 if r["id"] is None else r["id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
+        want.append((-1 if i is None else i, held(i), len(ts), sum(w in train for w in ts), n, base, *(sum(lattice[w, k] for w in ts[:-1]) + ends[k] for k in (0, 1))))
+    got = sorted((-1 if r["id"] is None else r["id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"], r["own_score"]) for r in got)
     for g, w in zip(got, sorted(want), strict=True):
         assert g[:5] == w[:5]
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
@@ -116,4 +122,15 @@ def test_no_rows_and_no_training(spark):
     assert score_documents(spark, df, small(), F.lit(False)).collect() == []
     one = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     (r,) = score_documents(spark, one, small(), F.lit(True)).collect()
-    assert (r["n_known"], r["train_tokens"], r["n_tokens"]) == (0, 0, 2) and -100 < r["score"] < 0
+    assert (r["n_known"], r["train_tokens"], r["n_tokens"]) == (0, 0, 2) and -100 < r["score"] == r["own_score"] < 0
+
+
+def test_scores_weigh_pieces():
+    """Log probabilities are taken as they are; whole-numbered scores are ranks."""
+    v = make_vocabulary([(b"a", math.log(0.6)), (b"b", math.log(0.3))])
+    at = {p: i for i, p in enumerate(v.pieces)}
+    assert v.prior[at[b"a"]] / v.prior[at[b"b"]] == pytest.approx(2) and v.prior[at[b"c"]] == v.prior[at[b"b"]]
+    v = small()
+    at = {p: i for i, p in enumerate(v.pieces)}
+    assert v.prior[at[b"a"]] / v.prior[at[b"b"]] == pytest.approx((4 + 2.7) / (2 + 2.7))
+    assert v.prior.sum() == pytest.approx(1)
