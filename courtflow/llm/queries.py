@@ -56,7 +56,7 @@ def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = scan(spark, read_table(spark, sf_dir, "documents"))
-    return got.select(F.col("id").alias("doc_id"), "license", "matched", "containment")
+    return got.select(F.col("id").alias("doc_id"), F.col("tie").alias("text_md5"), "license", "template", "matched", "containment")
 
 
 def op8_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
