@@ -34,7 +34,7 @@ def data(n=1500, seed=0):
 def test_against_brute_force(spark, cell_rows):
     rows = data()
     df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id long, embedding array<float>, rank string, leaf int").repartition(5)
-    out, info = search(spark, df, leaf_rows=40, sample_rows=900, cell_rows=cell_rows, part_rows=5 * cell_rows)
+    out, info = search(spark, df, leaf_rows=40, sample_rows=900, cell_rows=cell_rows, part_rows=5 * cell_rows, query_rows=cell_rows // 2, deep_sample=120)
     got = {}
     for r in out.collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
@@ -102,3 +102,23 @@ def test_tree_visits_every_leaf_once():
     seen = t.visits(x[0], t.leaves, np.zeros(len(t.leaf)))
     assert sorted(seen) == list(range(t.leaves))
     assert set(t.assign(x).tolist()) <= set(range(t.leaves))
+
+
+def test_subtrees_take_the_place_of_leaves():
+    g = np.random.default_rng(2)
+    x = g.normal(size=(4000, 6))
+    tree = fit_tree(x[:200], 4000, leaf_rows=400)
+    of, n = tree.assign(x), tree.leaves
+    subs = {}
+    for leaf in range(0, n, 2):
+        subs[leaf] = Tree()
+        subs[leaf].grow(x[of == leaf], 4, 50, g)
+    tree.graft(subs)
+    new = tree.assign(x)
+    assert tree.leaves == n + sum(s.leaves - 1 for s in subs.values()) and set(new.tolist()) <= set(range(tree.leaves))
+    assert sorted(tree.visits(x[0])) == list(range(tree.leaves)) and len(tree.radii) == len(tree.leaf) == len(tree.children)
+    for leaf in range(n):
+        inside = new[of == leaf]
+        assert set(inside.tolist()) == {leaf} if leaf % 2 else len(set(inside.tolist())) > 1
+    for leaf in set(new.tolist()):
+        assert len(set(of[new == leaf].tolist())) == 1
