@@ -185,13 +185,18 @@ def mix_copies(spark: SparkSession, docs: DataFrame, weights: Sequence[float] =
         out = got.select(["id", "tie", "k", "size"]).append_column("copies", pa.array(copies.astype(np.int32)))
         yield from out.combine_chunks().to_batches(max_chunksize=16384)
 
-    dealt = keyed.withColumn("shard", F.pmod(F.xxhash64("id", "tie", F.lit(5)), F.col("shards")).cast("int")).select("id", "k", "shard", "size", "tie").repartition("k", "shard")
+    # rows that repeat in full are numbered, so that they fall into all shards
+    alike = keyed.groupBy("id", "tie", "k", "size", "shards").agg(F.count("*").alias("rows")).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    dealt = alike.withColumn("shard", F.pmod(F.xxhash64("id", "tie", "i", F.lit(5)), F.col("shards")).cast("int")).select("id", "k", "shard", "size", "tie").repartition("k", "shard")
     taken = dealt.mapInArrow(run, "id long, tie long, k int, size long, copies int")
     return taken.join(plan, "k").select("id", "tie", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply_mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with each row as often as ``mix_copies`` takes it; rows that repeat in full share their copies."""
+    """``docs`` with each row as often as ``mix_copies`` takes it; rows that repeat in full share their copies.
+
+    Null and empty texts hold no words and are left out; an empty table gives no rows.
+    """
     copies = mix_copies(spark, docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
     one = copies.groupBy("id", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).toDF("_cf_cid", "_cf_ctie", "_cf_copies", "_cf_rows")
     one = Scratch(spark, "mixed").table(one.where("_cf_copies > 0"), "copies")

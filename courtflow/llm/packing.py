@@ -115,7 +115,14 @@ def best_fit(spark: SparkSession, lengths: DataFrame, capacities: Sequence[int]
 def pack_documents(
     spark: SparkSession, docs: DataFrame, tokenizer: str, capacities: Sequence[int] = (512, 1024, 2048, 4096, 8192), end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Best-fit packing of whole texts by their token counts; see ``best_fit``."""
-    lengths = token_lengths(docs, tokenizer, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    lengths = Scratch(spark, "packing").table(lengths, "lengths")  # fixes the rows' numbers
-    return best_fit(spark, lengths, capacities)
+    """Best-fit packing of whole texts by their token counts; see ``best_fit``.
+
+    Rows get their ``row`` by id and length, those alike in both numbered, so the
+    result doesn't hang on how the table is dealt out. A null or empty text is its end
+    id alone, or takes no bin without one; repeated rows are packed each; an empty
+    table gives no rows.
+    """
+    scratch = Scratch(spark, "packing")
+    alike = scratch.table(token_lengths(docs, tokenizer, end_id, id_col, text_col), "lengths").groupBy("id", "n").agg(F.count("*").alias("rows"))
+    rows = alike.select("id", "n", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("i"))
+    return best_fit(spark, scratch.table(rows.select("id", "n", F.xxhash64("id", "n", "i").alias("row")), "rows"), capacities)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import Scratch, rows_of
 
@@ -156,29 +157,36 @@ def fit_quality(stats: DataFrame, labels: DataFrame, train_if: Column, id_col: s
     """The discriminant of all rows of ``stats`` whose id has a label of 0 or 1 and ``train_if`` (over ``id``)."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.where("id is not null and label in (0, 1)").where(train_if).distinct()
-    # one text for each labelled id, so that repeated rows don't weigh more
-    return fit(*moments(stats.join(known, "id").dropDuplicates(["id", "label"])))
+    # one text for each labelled id, so that repeated rows don't weigh more; of several, the one of the least statistics
+    return fit(*moments(stats.join(known, "id").groupBy("id", "label").agg(F.min("x").alias("x"))))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_if: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs``, all columns, whose score is ``threshold`` or more; see ``score_quality``.
 
-    The second pass scores texts where they lie, so no text is shuffled.
+    Statistics are computed once and written beside the text, so that the second pass
+    only scores them; no text is shuffled. Null and empty texts are scored as empty,
+    repeated rows are decided alike, and an empty table gives no rows.
     """
-    scratch = Scratch(spark, "quality")
-    stats = scratch.table(features(docs, id_col, text_col), "features")
+    scratch, names, at = Scratch(spark, "quality"), docs.columns, docs.columns.index(text_col)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs = []
+            for lo in range(0, b.num_rows, 512):
+                xs += [statistics(t if t is None else t.encode()) for t in b.column(at).slice(lo, 512).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(xs, pa.list_(pa.float64()))], names=[*b.schema.names, "_cf_x"])
+
+    rows = scratch.table(docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("_cf_x", ArrayType(DoubleType()))])), "rows")
+    stats = rows.select(F.col(id_col).cast("long").alias("id"), F.col("_cf_x").alias("x"))
     model = spark.sparkContext.broadcast(fit_quality(stats, labels, F.lit(True) if train_if is None else train_if, id_col, label_col))
-    scratch.drop(stats)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                x = np.array([statistics(t if t is None else t.encode()) for t in part.column(at).to_pylist()])
-                yield part.filter(pa.array(model.value.score(x) >= threshold))
+            x = np.array(b.column(b.num_columns - 1).flatten()).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.value.score(x) >= threshold)).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(keep, docs.schema)
 
 
 def score_quality(

@@ -16,6 +16,7 @@ order with their documents and tokens.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -80,6 +81,8 @@ def blocks(f) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store and path of a folder that Spark knows too; s3a and s3n are names that only Spark gives to s3."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
