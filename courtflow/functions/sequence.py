@@ -49,3 +49,16 @@ def as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, tolera
     both = both.unionByName(other).withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
     near = F.col("_at") <= F.col(f"_last.{right_at}") + tolerance
     return both.select("_row.*", *(F.when(near, F.col(f"_last.{c}")).alias(c) for c in names))
+
+
+def nearest(left: DataFrame, right: DataFrame, left_at: str, right_at: str, key: str) -> DataFrame:
+    """Each left row with the right row nearest to it (ties to the one before) as ``key``: two running lookups over one sorted union."""
+    pack = F.struct(F.col(right_at).alias("t"), F.col(key).alias("f"))
+    row = F.struct(*left.columns)
+    kinds = {"_row": left.select(row.alias("s")).schema["s"].dataType, "_r": right.select(pack.alias("s")).schema["s"].dataType}
+    null = lambda n: F.lit(None).cast(kinds[n]).alias(n)
+    both = left.select("match_id", F.col(left_at).alias("_at"), row.alias("_row"), null("_r")).unionByName(right.select("match_id", F.col(right_at).alias("_at"), null("_row"), pack.alias("_r")))
+    back, ahead = in_match("_at").rangeBetween(Window.unboundedPreceding, 0), in_match("_at").rangeBetween(0, Window.unboundedFollowing)
+    both = both.withColumn("_p", F.last("_r", True).over(back)).withColumn("_q", F.first("_r", True).over(ahead)).where("_row is not null")
+    near = F.when(F.col("_q").isNull() | (F.col("_at") - F.col("_p.t") <= F.col("_q.t") - F.col("_at")), F.col("_p.f")).otherwise(F.col("_q.f"))
+    return both.select("_row.*", near.alias(key))

@@ -135,3 +135,10 @@ def project_model(named: dict[str, tuple[float, float]]) -> dict[str, tuple[floa
     h, _ = fit_homography(np.array([c for c, _ in known], float), np.array([p for _, p in known], float))
     at = np.array([[*c, 1.0] for c in COURT_POINTS.values()]) @ h.T
     return {n: (float(x / w), float(y / w)) for n, (x, y, w) in zip(COURT_POINTS, at, strict=True)}
+
+
+def best_calibration(calibrations: DataFrame, every: int = 300) -> DataFrame:
+    """(match_id, frame_id, reprojection_error) of the least error among every ``every``-th frame; frames without one are passed over, the first of equals wins."""
+    c = calibrations.where((F.col("frame_id") % every == 0) & F.col("reprojection_error").isNotNull())
+    best = c.groupBy("match_id").agg(F.min(F.struct("reprojection_error", "frame_id")).alias("b"))
+    return best.select("match_id", "b.frame_id", "b.reprojection_error")

@@ -16,13 +16,18 @@ def correlation(a: Column, b: Column) -> Column:
     return F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb))
 
 
-def similar_pairs(frames: DataFrame, threshold: float = 0.93, ahead: int = 50) -> DataFrame:
-    """(match_id, a, b, corr) of histograms (match_id, frame_id, hist) up to ``ahead`` frames apart: an interval join on the match and a block."""
-    block = lambda c: F.floor(c / ahead)
-    a = frames.select("match_id", F.col("frame_id").alias("a"), F.col("hist").alias("ha"), F.explode(F.array(block(F.col("frame_id")), block(F.col("frame_id")) + 1)).alias("block"))
-    b = frames.select("match_id", F.col("frame_id").alias("b"), F.col("hist").alias("hb"), block(F.col("frame_id")).alias("block"))
-    pairs = a.join(b, ["match_id", "block"]).where("b > a").where(F.col("b") - F.col("a") <= ahead)
-    return pairs.select("match_id", "a", "b", correlation(F.col("ha"), F.col("hb")).alias("corr")).where(F.col("corr") > threshold)
+def similar_pairs(frames: DataFrame, threshold: float = 0.93) -> DataFrame:
+    """(match_id, a, b, corr) of all pairs of a match's histograms (match_id, frame_id, hist) that correlate above ``threshold``.
+
+    Histograms are centered and scaled once, so a pair costs one dot product. The
+    match is the equal key; its pairs are the result's own size.
+    """
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    f = frames.withColumn("mean", total(F.col("hist")) / F.size("hist")).withColumn("c", F.transform("hist", lambda v: v - F.col("mean")))
+    f = f.withColumn("norm", F.sqrt(total(F.transform("c", lambda v: v * v)))).where("norm > 0").select("match_id", "frame_id", F.transform("c", lambda v: v / F.col("norm")).alias("u"))
+    a, b = f.select("match_id", F.col("frame_id").alias("a"), F.col("u").alias("ua")), f.select("match_id", F.col("frame_id").alias("b"), F.col("u").alias("ub"))
+    pairs = a.join(b, "match_id").where("b > a")
+    return pairs.select("match_id", "a", "b", total(F.zip_with("ua", "ub", lambda p, q: p * q)).alias("corr")).where(F.col("corr") > threshold)
 
 
 def distinct_frames(frames: DataFrame, threshold: float = 0.93, most: int | None = None) -> DataFrame:
@@ -56,13 +61,18 @@ def court_visible(stats: DataFrame) -> DataFrame:
     return stats.withColumn("visible", (F.col("court_ratio") >= 0.15) & F.col("white_ratio").between(0.003, 0.15) & (F.col("lines") >= 3))
 
 
-def response_summary(stats: DataFrame, thresholds: tuple[int, ...] = (10, 30, 50, 80, 127)) -> DataFrame:
-    """One row over frames (top, old_top, blobs: map threshold -> valid blobs): spread of maxima, hit rates, and advice."""
-    n = F.count("*")
-    hit = lambda t: F.count_if(F.coalesce(F.try_element_at("blobs", F.lit(t)), F.lit(0)) > 0)
-    row = stats.agg(F.avg("top").alias("mean_top"), F.min("top").alias("min_top"), F.max("top").alias("max_top"), F.count_if(F.col("top") > 0).alias("responding"), n.alias("frames"), *(hit(t).alias(f"n{t}") for t in thresholds))
-    share = lambda t: F.col(f"n{t}") / F.col("frames")
-    advice = F.when(share(127) > 0.1, "keep 127").when(share(50) > 0.1, "lower to 50").when(F.col("n50") > F.col("n127"), "lower and check").when(F.col("n50") > 0, "weak").otherwise("none")
+def response_summary(stats: DataFrame, thresholds: tuple[int, ...] = (10, 30, 50, 80, 127), by: str = "run") -> DataFrame:
+    """One row for each ``by`` over its frames: spread of maxima, frames with a valid blob at each threshold, and advice.
+
+    Frames hold (top, blobs: map threshold -> valid blobs) with the newest frame
+    first, and old_blobs, the same with the oldest first.
+    """
+    hit = lambda c, t: F.count_if(F.coalesce(F.try_element_at(c, F.lit(t)), F.lit(0)) > 0)
+    row = stats.groupBy(by).agg(
+        F.avg("top").alias("mean_top"), F.min("top").alias("min_top"), F.max("top").alias("max_top"), F.count_if(F.col("top") > 0).alias("responding"), F.count("*").alias("frames"),
+        *(hit("blobs", t).alias(f"n{t}") for t in thresholds), hit("old_blobs", 50).alias("o50"),
+    )
+    advice = F.when(F.col("n127") > F.col("frames") * 0.1, "keep 127").when(F.col("n50") > F.col("frames") * 0.1, "lower to 50").when(F.col("o50") > F.col("n50"), "oldest first").when(F.col("n50") > 0, "weak").otherwise("none")
     return row.withColumn("advice", advice)
 
 

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import nearest
+
 
 def summary(rallies: DataFrame) -> DataFrame:
     """One row for each match: points, mean rally length, mean duration in seconds, wall bounces."""
@@ -24,14 +26,30 @@ def net_control_chart(teams: DataFrame) -> DataFrame:
 
 
 def animation_frames(ball: DataFrame, players: DataFrame, shots: DataFrame, fps: float = 25.0) -> DataFrame:
-    """Everything with a place in each frame; a star on the frame nearest to a shot."""
-    at = lambda df, who: df.where("position is not null").select("match_id", "frame_id", "timestamp_ms", who.alias("entity"), F.col("position.x").alias("x"), F.col("position.y").alias("y"))
+    """Everything with a place in each frame; the ball is a star on the ball frame nearest to a shot."""
+    at = lambda df, who: df.where("position is not null").select("match_id", "frame_id", who.alias("entity"), F.col("position.x").alias("x"), F.col("position.y").alias("y"))
     rows = at(players, F.col("player_id")).unionByName(at(ball, F.lit("ball")))
-    s = shots.select("match_id", F.round(F.col("timestamp_ms"), 3).alias("timestamp_ms"), F.lit(True).alias("_hit")).distinct()
-    rows = rows.join(s, ["match_id", "timestamp_ms"], "left")
+    s = nearest(shots.select("match_id", F.col("timestamp_ms").alias("s_ms")), ball.select("match_id", "timestamp_ms", "frame_id"), "s_ms", "timestamp_ms", "frame_id")
+    rows = rows.join(s.select("match_id", "frame_id", F.lit(True).alias("_hit")).distinct(), ["match_id", "frame_id"], "left")
     return rows.select("match_id", "frame_id", "entity", "x", "y", F.when(F.col("_hit") & (F.col("entity") == "ball"), "star").otherwise("circle").alias("marker"), F.lit(int(1000 // fps)).alias("duration_ms"))
 
 
+def active_bounces(ball: DataFrame, bounces: DataFrame, fps: int = 25) -> DataFrame:
+    """(match_id, frame_id, bounce, progress): each bounce on the second of frames from its own on; its frame is rounded half to even."""
+    b = bounces.select("match_id", F.col("idx").alias("bounce"), F.bround(F.col("timestamp_ms") / (1000.0 / fps)).cast("long").alias("at"))
+    shown = b.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fps - 1).cast("long")))).withColumn("frame_id", F.col("at") + F.col("step"))
+    return ball.select("match_id", "frame_id").join(shown, ["match_id", "frame_id"]).select("match_id", "frame_id", "bounce", (F.col("step") / float(fps)).alias("progress"))
+
+
+def shot_type_chart(players: DataFrame) -> DataFrame:
+    """(match_id, player_id, shot_type, shots) of player metrics, out of their maps."""
+    return players.select("match_id", "player_id", F.explode("shot_type_counts").alias("shot_type", "shots"))
+
+
+def outcome_chart(players: DataFrame) -> DataFrame:
+    return players.select("match_id", "player_id", "winners", "errors")
+
+
 def bounce_rings(active: DataFrame) -> DataFrame:
     """Radius, opacity and label of each bounce shown, from its progress in 0..1."""
     p = F.col("progress")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -85,22 +83,53 @@ def iou_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ["match_id", "frame_id"]).select("match_id", "frame_id", "a", "b", iou(F.col("box_a"), F.col("box_b")).alias("iou"))
 
 
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """The column of each row with the least total cost, rows at most as many as columns: shortest augmenting paths, cubic."""
+    n, m = cost.shape
+    u, v, row_of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, came, done = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while row_of[j]:
+            done[j] = True
+            open_ = np.flatnonzero(~done[1:]) + 1
+            reduced = cost[row_of[j] - 1, open_ - 1] - u[row_of[j]] - v[open_]
+            better = open_[reduced < least[open_]]
+            least[better], came[better] = reduced[reduced < least[open_]], j
+            k = open_[least[open_].argmin()]
+            step = least[k]
+            u[row_of[done]] += step
+            v[done] -= step
+            least[~done] -= step
+            j = k
+        while j:
+            row_of[j] = row_of[came[j]]
+            j = came[j]
+    out = np.zeros(n, int)
+    for j in range(1, m + 1):
+        if row_of[j]:
+            out[row_of[j] - 1] = j - 1
+    return out
+
+
 def match_boxes(pairs: DataFrame, least: float = 0.3) -> DataFrame:
-    """One-to-one pairs of each frame with the largest total overlap, those of ``least`` or more. Frames hold a few boxes."""
+    """One-to-one pairs of each frame with the largest total overlap, those of ``least`` or more; a match is one Arrow group."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        m = g.pivot(index="a", columns="b", values="iou")
-        flip = m.shape[0] > m.shape[1]
-        m = m.T if flip else m
-        cost = m.to_numpy()
-        best = max(permutations(range(cost.shape[1]), cost.shape[0]), key=lambda p: sum(cost[i, j] for i, j in enumerate(p)))
-        hits = [(m.index[i], m.columns[j], cost[i, j]) for i, j in enumerate(best) if cost[i, j] >= least]
-        out = pd.DataFrame([(b, a, v) if flip else (a, b, v) for a, b, v in hits], columns=["a", "b", "iou"])
-        out.insert(0, "frame_id", g["frame_id"].iloc[0])
-        out.insert(0, "match_id", g["match_id"].iloc[0])
-        return out
+        out = []
+        for frame, f in g.groupby("frame_id"):
+            m = f.pivot(index="a", columns="b", values="iou")
+            flip = m.shape[0] > m.shape[1]
+            m = m.T if flip else m
+            for i, j in enumerate(assignment(1 - m.to_numpy())):
+                if m.iat[i, j] >= least:
+                    a, b = (m.columns[j], m.index[i]) if flip else (m.index[i], m.columns[j])
+                    out.append((frame, a, b, m.iat[i, j]))
+        done = pd.DataFrame(out, columns=["frame_id", "a", "b", "iou"])
+        done.insert(0, "match_id", g["match_id"].iloc[0])
+        return done
 
-    return pairs.groupBy("match_id", "frame_id").applyInPandas(run, "match_id long, frame_id long, a long, b long, iou double")
+    return pairs.groupBy("match_id").applyInPandas(run, "match_id long, frame_id long, a long, b long, iou double")
 
 
 def kmeans_2(x: np.ndarray, rounds: int = 20) -> np.ndarray:
@@ -115,6 +144,25 @@ def kmeans_2(x: np.ndarray, rounds: int = 20) -> np.ndarray:
     return c
 
 
+def kmeans_2_table(features: DataFrame, rounds: int = 20) -> np.ndarray:
+    """``kmeans_2`` of a whole table (id, vec), row 0 being the smallest id: two rows of sums a round reach the driver."""
+    dist = lambda c: F.aggregate(F.zip_with("vec", F.array(*(F.lit(float(v)) for v in c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    first = features.agg(F.min(F.struct("id", "vec")).alias("m")).first()["m"]
+    if first is None:
+        raise ValueError("no rows")
+    far = features.agg(F.max(F.struct(dist(first["vec"]).alias("d"), (-F.col("id")).alias("less"), "vec")).alias("m")).first()["m"]
+    c = np.array([first["vec"], far["vec"]], float)
+    for _ in range(rounds):
+        near = features.select(F.when(dist(c[0]) <= dist(c[1]), 0).otherwise(1).alias("team"), F.posexplode("vec").alias("i", "v"))
+        new = c.copy()
+        for r in near.groupBy("team", "i").agg(F.avg("v").alias("v")).collect():
+            new[r["team"], r["i"]] = r["v"]
+        if np.allclose(new, c, atol=1e-6):
+            break
+        c = new
+    return c
+
+
 def assign_teams(features: DataFrame, centers: np.ndarray) -> DataFrame:
     """(id, team) by the nearer center, ties to T_2; distances stay in the JVM."""
     d = lambda k: F.aggregate(F.zip_with("vec", F.array(*(F.lit(float(v)) for v in centers[k])), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)

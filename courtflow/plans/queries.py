@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.court import adjugate, determinant, foot, line_intersection, mini_court, project
-from ..functions.sequence import as_of, in_match
+from ..functions.sequence import as_of, nearest
 from ..operators import events as E
 from ..operators import heatmap as H
 from ..operators import metrics as M
 from ..operators import points as P
+from ..operators import reports as V
 from ..operators import tracking as T
 from ..sources import adapter as A
 
@@ -345,10 +345,8 @@ def _(s, d):
 
 @query("active_bounces", "bnc", "select b.match_id, cast(b.frame_id as bigint) as frame_id, n.idx as bounce, (b.frame_id - cast(round_even(n.ts / 40.0, 0) as bigint)) / cast(25 as double) as progress from ball b join bnc n on n.match_id = b.match_id and b.frame_id - cast(round_even(n.ts / 40.0, 0) as bigint) between 0 and 24")
 def _(s, d):
-    b = E.bounces(A.ball_frames(s, d)).select("match_id", F.col("idx").alias("bounce"), F.bround(F.col("timestamp_ms") / 40.0).cast("long").alias("at"))
-    shown = b.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long")))).withColumn("frame_id", F.col("at") + F.col("step"))
-    frames = A.ball_frames(s, d).select("match_id", "frame_id")
-    return frames.join(shown, ["match_id", "frame_id"]).select("match_id", "frame_id", "bounce", (F.col("step") / 25.0).alias("progress"))
+    ball = A.ball_frames(s, d)
+    return V.active_bounces(ball, E.bounces(ball))
 
 
 @query("top_shot_types", "shot", "select match_id, shot_type, n from (select match_id, substring(shot_type, 1, 12) as shot_type, count(*) as n, row_number() over (partition by match_id order by count(*) desc, min(n)) as rk from shot group by match_id, shot.shot_type) where rk <= 4")
@@ -362,13 +360,7 @@ def _(s, d):
 def _(s, d):
     ball, pl = _all(s, d)
     c = E.spans(E.contacts(ball, pl)).select("match_id", "n", (F.col("timestamp_ms") + 13).alias("at"))
-    # the frames next to a time on either side, by two running lookups over one sorted union
-    both = c.select("match_id", "at", "n", F.lit(None).cast("struct<t:double,f:bigint>").alias("b")).unionByName(ball.select("match_id", F.col("timestamp_ms").alias("at"), F.lit(None).cast("int").alias("n"), F.struct(F.col("timestamp_ms").alias("t"), F.col("frame_id").alias("f")).alias("b")))
-    back = in_match("at").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = in_match("at").rangeBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("p", F.last("b", True).over(back)).withColumn("q", F.first("b", True).over(ahead)).where("n is not null")
-    near = F.when(F.col("q").isNull() | (F.col("at") - F.col("p.t") <= F.col("q.t") - F.col("at")), F.col("p.f")).otherwise(F.col("q.f"))
-    return both.select("match_id", "n", near.alias("frame_id"))
+    return nearest(c, ball.select("match_id", "timestamp_ms", "frame_id"), "at", "timestamp_ms", "frame_id").select("match_id", "n", "frame_id")
 
 
 @query("best_calibration", None, "select min(struct_pack(e := ((m * 37) % 100) / cast(1000 as double), m := m)).m as match_id, min(((m * 37) % 100) / cast(1000 as double)) as reprojection_error from (select distinct event_id // 500 as m from events)")
@@ -387,27 +379,17 @@ def _(s, d):
 # ---- features, labels and kernels ------------------------------------------------------------
 
 
-@query(
-    "event_features",
-    "players",
-    "select match_id, frame_id, "
-    + ", ".join(
-        f"round(cast(cast(coalesce({f}, 0) as float) as double), 4) as {n}"
-        for n, f in (
-            ("f0", "lag(case when x is null then 0 else x end, 4) over w"),
-            ("f22", "lag(case when x is null then 0 else d end, 2) over w"),
-            ("f33", "case when x is null then 0 else y end"),
-            ("f69", "lead(case when x is null then 0 when vis = 'visible' then 1 else 0 end, 4) over w"),
-        )
-    )
-    + " from (select b.*, least(99, coalesce((select min(sqrt((b.x - p.x) * (b.x - p.x) + (b.y - p.y) * (b.y - p.y))) from players p where p.match_id = b.match_id and p.frame_id = b.frame_id), 99)) as d from ball b) window w as (partition by match_id order by frame_id)",
-)
+_SLOT = ("x", "y", "dx", "dy", "conf", "seen", "d", "speed")
+CTES["slot0"] = "select b.match_id, b.frame_id, b.x, b.y, b.conf, case when vis = 'visible' then 1.0 else 0.0 end as seen, case when x is not null then coalesce(x - lag(x) over w, 0) else 0 end as dx, case when x is not null then coalesce(y - lag(y) over w, 0) else 0 end as dy, least(99, coalesce((select min(sqrt((b.x - p.x) * (b.x - p.x) + (b.y - p.y) * (b.y - p.y))) from players p where p.match_id = b.match_id and p.frame_id = b.frame_id), 99)) as d from ball b window w as (partition by match_id order by frame_id)"
+CTES["slot"] = "select match_id, frame_id, " + ", ".join(f"case when x is null then 0 else {c} end as {c}" for c in ("x", "y", "dx", "dy", "conf", "seen", "d")) + ", case when x is null then 0 else sqrt(dx * dx + dy * dy) end as speed from slot0"
+_FEATURE = lambda i: f"coalesce({'lag' if i < 32 else 'lead'}({_SLOT[i % 8]}, {abs(i // 8 - 4)}) over w, 0)"
+
+
+@query("event_features", "slot", "select match_id, frame_id, " + ", ".join(f"round(cast(cast({_FEATURE(i)} as float) as double), 4) as f{i}" for i in range(72)) + " from slot window w as (partition by match_id order by frame_id)")
 def _(s, d):
     from ..operators.features import event_features
 
-    f = event_features(*_all(s, d))
-    at = lambda i: F.round(F.col("features")[i].cast("double"), 4).alias(f"f{i}")
-    return f.select("match_id", "frame_id", at(0), at(22), at(33), at(69))
+    return event_features(*_all(s, d)).select("match_id", "frame_id", *(F.round(F.col("features")[i].cast("double"), 4).alias(f"f{i}") for i in range(72)))
 
 
 @query(
@@ -434,15 +416,30 @@ def _(s, d):
     return class_weights(A.ball_frames(s, d).select(F.col("visibility").alias("label"))).select("label", r("weight", digits=4))
 
 
-@query("kalman_ball")
+CTES["raw"] = "select match_id, frame_id, case when vis = 'visible' then x end as mx, case when vis = 'visible' then y end as my from ball"
+_PRED = "select r.match_id, r.frame_id, mx, my, alive, lost, px + vx as qx, py + vy as qy, vx, vy, a + 2 * b + c + 0.25 as qa, b + c as qb, c + 0.25 as qc from kal k join raw r on r.match_id = k.match_id and r.frame_id = k.frame_id + 1"
+_GAIN = f"select *, case when not alive then case when mx is null then 'none' else 'new' end when mx is not null and sqrt((qx - mx) * (qx - mx) + (qy - my) * (qy - my)) <= 3 then 'hit' when lost + 1 > 10 then 'none' else 'miss' end as act, qa / (qa + 0.09) as k0, qb / (qa + 0.09) as k1 from ({_PRED})"
+_pick = lambda new, hit, miss, none="cast(0 as double)": f"case act when 'new' then {new} when 'hit' then {hit} when 'miss' then {miss} else {none} end"
+CTES["kal"] = (
+    "select match_id, frame_id, mx is not null as alive, coalesce(mx, 0) as px, coalesce(my, 0) as py, cast(0 as double) as vx, cast(0 as double) as vy, cast(1 as double) as a, cast(0 as double) as b, cast(1 as double) as c, 0 as lost, case when mx is null then 'none' else 'new' end as act from raw where frame_id = 0 union all "
+    f"select match_id, frame_id, act <> 'none', {_pick('mx', 'qx + k0 * (mx - qx)', 'qx')}, {_pick('my', 'qy + k0 * (my - qy)', 'qy')}, {_pick('0', 'vx + k1 * (mx - qx)', 'vx')}, {_pick('0', 'vy + k1 * (my - qy)', 'vy')}, {_pick('1', '(1 - k0) * qa', 'qa')}, {_pick('0', '(1 - k0) * qb', 'qb')}, {_pick('1', 'qc - k1 * qb', 'qc')}, {_pick('0', '0', 'lost + 1', '0')}, act from ({_GAIN})"
+)
+
+
+@query("kalman_ball", "kal", "select match_id, frame_id, case when act <> 'none' then round(least(10, greatest(0, px)), 6) end as x, case when act <> 'none' then round(least(20, greatest(0, py)), 6) end as y, case act when 'none' then 'occluded' when 'miss' then 'inferred' else 'visible' end as visibility from kal")
 def _(s, d):
     raw = A.ball_frames(s, d).select("match_id", "frame_id", F.when(F.col("visibility") == "visible", F.col("position.x")).alias("x"), F.when(F.col("visibility") == "visible", F.col("position.y")).alias("y"))
-    return T.track_ball(raw)
+    return T.track_ball(raw).select("match_id", "frame_id", r("x"), r("y"), "visibility")
+
 
+_KP = {"left_shoulder": (400, 250), "right_shoulder": (500, 250), "left_wrist": (380, "wy"), "right_wrist": (520, "wy"), "left_elbow": ("380 - g", "(wy + 250) / 2"), "right_elbow": ("520 + g", "(wy + 250) / 2"), "left_hip": ("420 + h", 350), "right_hip": ("480 + h", 350)}
+CTES["kps"] = " union all ".join(f"select match_id, frame_id, player_id, '{n}' as name, cast({x} as double) as x, cast({y} as double) as y, cast({'case when weak then 0.2 else 0.9 end' if n == 'left_wrist' else 0.9} as double) as confidence from players" for n, (x, y) in _KP.items())
+CTES["ema"] = "select match_id, frame_id, player_id, name, x, y, confidence from kps where frame_id = 0 union all select k.match_id, k.frame_id, k.player_id, k.name, 0.6 * k.x + (1 - 0.6) * e.x, 0.6 * k.y + (1 - 0.6) * e.y, 0.6 * k.confidence + (1 - 0.6) * e.confidence from ema e join kps k on k.match_id = e.match_id and k.player_id = e.player_id and k.name = e.name and k.frame_id = e.frame_id + 1"
 
-@query("pose_ema")
+
+@query("pose_ema", "ema", "select match_id, frame_id, player_id, name, round(x, 6) as x, round(y, 6) as y, round(confidence, 6) as confidence from ema")
 def _(s, d):
-    return T.smooth_pose(A.player_frames(s, d))
+    return T.smooth_pose(A.player_frames(s, d)).select("match_id", "frame_id", "player_id", "name", r("x"), r("y"), r("confidence"))
 
 
 @query("mlp_probabilities")
@@ -455,24 +452,28 @@ def _(s, d):
 @query("kmeans2_assign")
 def _(s, d):
     e = s.read.parquet(f"{d}/embeddings.parquet").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    first = np.array([x["vec"] for x in e.orderBy("id").limit(500).collect()])  # the warm-up buffer
-    return T.assign_teams(e, T.kmeans_2(first)).withColumnRenamed("id", "vec_id")
+    return T.assign_teams(e, T.kmeans_2_table(e)).withColumnRenamed("id", "vec_id")
 
 
 def _boxes(s, d):
-    p = A.player_frames(s, d).where("position is not null and frame_id % 25 = 0")
+    p = A.player_frames(s, d).where("position is not null")
     shift = F.col("bbox").withField("x1", F.col("bbox.x1") + 15).withField("x2", F.col("bbox.x2") + 15)
     return p, p.withColumn("bbox", shift)
 
 
-@query("iou_pairs", "players", "select a.match_id, a.frame_id, a.ord as a, b.ord as b, round(case when u > 0 then i / u else 0 end, 6) as iou from (select *, w * h2 as i, 60.0 * 150 + 60.0 * 150 - w * h2 as u from (select a.match_id, a.frame_id, a.ord as aord, b.ord as bord, greatest(0, least(100 * a.x + 30, 100 * b.x + 45) - greatest(100 * a.x - 30, 100 * b.x - 15)) as w, greatest(0, least(50 * a.y, 50 * b.y) - greatest(50 * a.y - 150, 50 * b.y - 150)) as h2 from players a join players b on a.match_id = b.match_id and a.frame_id = b.frame_id where a.x is not null and b.x is not null and a.frame_id % 25 = 0)) q join players a on a.match_id = q.match_id and a.frame_id = q.frame_id and a.ord = q.aord join players b on b.match_id = q.match_id and b.frame_id = q.frame_id and b.ord = q.bord")
+CTES["iou"] = "select match_id, frame_id, a, b, case when 18000 - w * h > 0 then w * h / (18000 - w * h) else 0 end as iou from (select a.match_id, a.frame_id, a.ord as a, b.ord as b, greatest(0, least(100 * a.x + 30, 100 * b.x + 45) - greatest(100 * a.x - 30, 100 * b.x - 15)) as w, greatest(0, least(50 * a.y, 50 * b.y) - greatest(50 * a.y - 150, 50 * b.y - 150)) as h from players a join players b on a.match_id = b.match_id and a.frame_id = b.frame_id where a.x is not null and b.x is not null)"
+CTES["listing"] = "select match_id, frame_id, ord, row_number() over w as i, count(*) over (partition by match_id, frame_id) as n from players where x is not null window w as (partition by match_id, frame_id order by ord)"
+CTES["deal"] = "select match_id, frame_id, n, cast(0 as bigint) as i, cast([] as bigint[]) as bs, cast(0 as double) as total from listing where i = 1 union all select d.match_id, d.frame_id, d.n, l.i, list_append(d.bs, q.b), d.total + q.iou from deal d join listing l on l.match_id = d.match_id and l.frame_id = d.frame_id and l.i = d.i + 1 join iou q on q.match_id = d.match_id and q.frame_id = d.frame_id and q.a = l.ord where not list_contains(d.bs, q.b)"
+
+
+@query("iou_pairs", "iou", "select match_id, frame_id, a, b, round(iou, 6) as iou from iou")
 def _(s, d):
     return T.iou_pairs(*_boxes(s, d)).withColumn("iou", F.round("iou", R))
 
 
-@query("iou_match")
+@query("iou_match", "deal", "select q.match_id, q.frame_id, q.a, q.b, round(q.iou, 6) as iou from (select match_id, frame_id, arg_max(bs, total) as bs from deal where i = n group by match_id, frame_id) best join listing l using (match_id, frame_id) join iou q on q.match_id = best.match_id and q.frame_id = best.frame_id and q.a = l.ord and q.b = best.bs[l.i] where q.iou >= 0.3")
 def _(s, d):
-    return T.match_boxes(T.iou_pairs(*_boxes(s, d)))
+    return T.match_boxes(T.iou_pairs(*_boxes(s, d))).withColumn("iou", F.round("iou", R))
 
 
 @query("json_props", "ev", "select match_id, frame_id, k from ev")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -10,3 +14,11 @@ def session(name: str = "courtflow", **options: str) -> SparkSession:
     for k, v in options.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where all run in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='courtflow-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
