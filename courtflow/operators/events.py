@@ -18,7 +18,7 @@ from ..functions.court import surface
 from ..functions.sequence import greedy_apart, in_match, suppress
 from ..schema import COURT_L, NET_Y, SERVICE_NEAR, WALLS
 
-Detector = Callable[[DataFrame], DataFrame]
+Detector = Callable[..., DataFrame]
 
 
 def indexed(ball: DataFrame) -> DataFrame:
@@ -60,15 +60,15 @@ def velocity_reversals(ball: DataFrame, apart: int = 8, **options) -> DataFrame:
     return suppress(bounce_candidates(ball, **options), "idx", apart)
 
 
-def bounces(ball: DataFrame, detect: Detector = velocity_reversals, classify: Callable[[Column, Column, Column], Column] = surface, indices: DataFrame | None = None) -> DataFrame:
-    """Bounces with the surface they hit.
+def bounces(ball: DataFrame, detect: Detector = velocity_reversals, classify: Callable[[Column, Column, Column], Column] = surface, indices: DataFrame | None = None, **options) -> DataFrame:
+    """Bounces with the surface they hit; ``options`` go to ``detect``.
 
     ``detect`` gives the rows (match_id, idx, frame_id, timestamp_ms, x, y, z) of the
     bounces in ball frames; ``classify`` a type from x, y and z. Where ``indices``
     (match_id, idx) are given, they are the bounces, save those without a place.
     """
     if indices is None:
-        kept = detect(ball)
+        kept = detect(ball, **options)
     else:
         kept = indexed(ball).join(indices.select("match_id", "idx").distinct(), ["match_id", "idx"]).where("x is not null and y is not null")
         kept = kept.select("match_id", "idx", "frame_id", "timestamp_ms", "x", "y", "z")
@@ -261,15 +261,13 @@ def play_with(play: DataFrame, contacts_: DataFrame | None = None, bounces_: Dat
         own = bounces_.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(*(typed(f).alias(f) for f in fields)))).alias("_own"))
         play = play.join(own, "match_id", "left").withColumn("bounces", F.coalesce(F.col("_own").cast(play.schema["bounces"].dataType), F.filter("bounces", lambda _: F.lit(False)))).drop("_own")
     if contacts_ is not None:
-        kind = play.schema["contacts"].dataType
+        after = play.schema["contacts"].dataType.elementType["after"].dataType.simpleString()
         own = contacts_.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct(*(F.col(f) for f in _CONTACT[:11])))).alias("_own"))
-        play = play.join(own, "match_id", "left")
-        held = lambda x: F.get(F.filter("contacts", lambda c: c["idx"] == x["idx"]), F.lit(0))
-        given = F.transform("_own", lambda x, i: F.struct(
-            *(x[f].alias(f) for f in _CONTACT[:11]), F.coalesce(held(x)["lift"], F.lit(0.0)).alias("lift"), F.coalesce(held(x)["forehand"], F.lit(True)).alias("forehand"), F.coalesce(held(x)["spin"], F.lit(False)).alias("spin"),
-            (i + 1).alias("n"), F.when(i > 0, F.get("_own", i - 1)["timestamp_ms"]).alias("prev_ms"), F.coalesce(held(x)["after"], F.filter(F.get("contacts", F.lit(0))["after"], lambda _: F.lit(False))).alias("after"),
-        ))
-        play = play.withColumn("contacts", F.coalesce(given.cast(kind), F.filter("contacts", lambda _: F.lit(False)))).drop("_own")
+        held = "get(filter(contacts, c -> c.idx = x.idx), 0)"
+        fields = ", ".join(f"x.{f} as {f}" for f in _CONTACT[:11])
+        given = f"""transform(_own, (x, i) -> struct({fields}, coalesce({held}.lift, 0.0D) as lift, coalesce({held}.forehand, true) as forehand, coalesce({held}.spin, false) as spin,
+            i + 1 as n, if(i > 0, get(_own, i - 1).timestamp_ms, null) as prev_ms, coalesce({held}.after, cast(array() as {after})) as after))"""
+        play = play.join(own, "match_id", "left").withColumn("contacts", F.expr(f"coalesce({given}, slice(contacts, 1, 0))")).drop("_own")
     return play
 
 

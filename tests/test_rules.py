@@ -271,3 +271,97 @@ def test_cache_and_annotations(spark, tmp_path):
     assert got == [("net_left", 100.0, 50.13, "visible"), ("top", 0.0, 10.0, "occluded")]
     train, val = split(spark.range(2000).toDF("id"), "id")
     assert train.count() + val.count() == 2000 and 200 < val.count() < 400
+
+
+def _pose(wrist=200.0, shoulder=250.0, lateral=20.0, weak=()):
+    at = {"shoulder": (400.0, 500.0, shoulder), "wrist": (380.0, 520.0, wrist), "elbow": (390.0 - lateral, 510.0 + lateral, (wrist + shoulder) / 2), "hip": (420.0, 480.0, 350.0)}
+    return [(f"{side}_{part}", xs[i], xs[2], 0.1 if f"{side}_{part}" in weak else 0.9) for part, xs in at.items() for i, side in enumerate(("left", "right"))]
+
+
+_LINE = lambda y, step, n=10: [(5.0, y + i * step) for i in range(n)]
+_OUT = [(5.0, min(19.8, 10.0 + i * 0.8)) for i in range(15)] + [(9.8, 19.8)] * 5
+#: (key points, the player's y, ball path, ground bounce, wall bounce, type)
+SHOTS = {
+    "smash": (_pose(150.0), 10.0, [(5.0, 10.0)] * 5, False, False, "smash"),
+    "smash out of the court": (_pose(150.0), 10.0, _OUT, False, False, "smash_x3"),
+    "overhead": (_pose(220.0), 10.0, [(5.0, 10.0)] * 5, False, False, "bandeja"),
+    "overhead with side spin": (_pose(220.0, lateral=60.0), 10.0, [(5.0, 10.0)] * 5, False, False, "vibora"),
+    "low at the net": (_pose(280.0), 10.0, _LINE(10.0, 0.5), False, False, "volley"),
+    "short": (_pose(280.0), 10.0, _LINE(10.0, 0.1), False, False, "drop_shot"),
+    "off a side wall": (_pose(280.0), 5.0, _LINE(5.0, 0.3), True, True, "wall_return"),
+    "off the back wall, deep": (_pose(280.0), 1.5, _LINE(1.5, 0.3), True, True, "contra_pared"),
+    "overhead, long arc": (_pose(200.0), 2.0, _LINE(2.0, 1.0, 15), True, False, "lob"),
+    "overhead, no arc": (_pose(200.0), 2.0, _LINE(2.0, 0.1, 5), True, False, "bajada"),
+    "towards the net": (_pose(280.0), 4.0, _LINE(4.0, 0.8), True, False, "chiquita"),
+    "along the net": (_pose(280.0), 4.0, [(5.0 + i * 0.3, 4.0) for i in range(10)], True, False, "groundstroke_bh"),
+    "shoulder and wrist not known well": (_pose(200.0, weak=("left_shoulder", "left_wrist")), 5.0, [], True, False, "groundstroke_fh"),
+    "no key points": ([], 5.0, [], True, False, "groundstroke_fh"),
+}
+
+
+def test_shot_scenarios(spark):
+    """Each branch of the rule, from key points to the type."""
+    from courtflow.operators.events import by_pose, pose, serve_only
+
+    kp = "array<struct<name:string,x:double,y:double,confidence:double>>"
+    names = list(SHOTS)
+    players = spark.createDataFrame([(i, 0, 1, "P_001", "T_1", (5.0, SHOTS[n][1]), SHOTS[n][0]) for i, n in enumerate(names)], f"match_id long, frame_id long, ord long, player_id string, team_id string, position struct<x:double,y:double>, keypoints {kp}")
+    played = spark.createDataFrame([(i, [(k, *p) for k, p in enumerate(SHOTS[n][2])], SHOTS[n][3], SHOTS[n][4], SHOTS[n][1]) for i, n in enumerate(names)], "match_id long, after array<struct<idx:long,x:double,y:double>>, ground boolean, wall boolean, y double")
+    rows = pose(players).join(played, "match_id").select("match_id", by_pose().alias("k"), serve_only().alias("s")).collect()
+    assert {names[r["match_id"]]: r["k"]["type"] for r in rows} == {n: s[5] for n, s in SHOTS.items()}
+    assert {(r["s"]["type"], r["s"]["c"]) for r in rows} == {("unknown", 0.3)}
+
+
+def test_a_keypoint_listed_twice_counts_as_last_known(spark):
+    from courtflow.operators.events import pose
+
+    twice = [*_pose(280.0), ("left_wrist", 380.0, 100.0, 0.9), ("right_wrist", 520.0, 90.0, 0.1)]
+    df = spark.createDataFrame([(1, 0, 1, "P_001", None, None, twice)], "match_id long, frame_id long, ord long, player_id string, team_id string, position struct<x:double,y:double>, keypoints array<struct<name:string,x:double,y:double,confidence:double>>")
+    assert pose(df).first()["lift"] == 150.0
+
+
+def test_shots_from_one_scan_and_one_shuffle(spark):
+    """The plan that rallies rest on: both tables are read once and meet in one exchange."""
+    from courtflow.operators import events as E
+    from courtflow.operators import metrics as M
+    from courtflow.operators import points as P
+    from courtflow.sources import adapter as A
+
+    d = "/root/testdata/sf0.001"
+    rallies = M.rally_metrics(P.in_points(E.play_shots(E.match_play(A.ball_frames(spark, d), A.player_frames(spark, d)))))
+    plan = rallies._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_given_bounces_contacts_and_numbers(spark):
+    from courtflow.operators import events as E
+    from courtflow.sources import adapter as A
+
+    d = "/root/testdata/sf0.001"
+    ball, players = A.ball_frames(spark, d), A.player_frames(spark, d)
+    own = {(r["match_id"], r["n"], r["shot_type"], r["shot_id"][12:]) for r in E.shots(ball, players).collect()}
+    again = E.shots(ball, players, contacts_=E.contacts(ball, players), bounces_=E.bounces(ball), match_set=2, game=3, point=4).collect()
+    assert {(r["match_id"], r["n"], r["shot_type"], r["shot_id"][12:]) for r in again} == own
+    assert all(r["shot_id"].startswith("S_002_03_04_") for r in again)
+    none = E.shots(ball, players, classify=E.serve_only, bounces_=E.bounces(ball).limit(0)).collect()
+    assert len(none) == len(own) and {r["shot_type"] for r in none} == {"unknown"} and not any(r["trajectory"] for r in none)
+    at = E.bounces(ball, indices=spark.createDataFrame([(0, 40), (1, 17)], "match_id long, idx long")).collect()
+    assert {(r["match_id"], r["idx"]) for r in at} <= {(0, 40), (1, 17)} and at
+    assert E.bounces(ball, detect=lambda b: E.bounce_candidates(b).limit(3)).count() == 3
+
+
+def test_assignment_against_search():
+    from itertools import permutations
+
+    import numpy as np
+
+    from courtflow.operators.tracking import assignment
+
+    g = np.random.default_rng(1)
+    for n, m in ((1, 1), (2, 4), (4, 4), (5, 6)):
+        for _ in range(20):
+            cost = g.uniform(size=(n, m)).round(1)
+            got = assignment(cost)
+            assert len(set(got.tolist())) == n
+            want = min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(m), n))
+            assert abs(cost[range(n), got].sum() - want) < 1e-9
