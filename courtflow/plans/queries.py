@@ -426,10 +426,10 @@ CTES["kal"] = (
 )
 
 
-@query("kalman_ball", "kal", "select match_id, frame_id, case when act <> 'none' then round(least(10, greatest(0, px)), 6) end as x, case when act <> 'none' then round(least(20, greatest(0, py)), 6) end as y, case act when 'none' then 'occluded' when 'miss' then 'inferred' else 'visible' end as visibility from kal")
+@query("kalman_ball", "kal", "select match_id, frame_id, case when act <> 'none' then round(least(10, greatest(0, px)), 9) end as x, case when act <> 'none' then round(least(20, greatest(0, py)), 9) end as y, case act when 'none' then 'occluded' when 'miss' then 'inferred' else 'visible' end as visibility from kal")
 def _(s, d):
     raw = A.ball_frames(s, d).select("match_id", "frame_id", F.when(F.col("visibility") == "visible", F.col("position.x")).alias("x"), F.when(F.col("visibility") == "visible", F.col("position.y")).alias("y"))
-    return T.track_ball(raw).select("match_id", "frame_id", r("x"), r("y"), "visibility")
+    return T.track_ball(raw).select("match_id", "frame_id", r("x", digits=9), r("y", digits=9), "visibility")  # places of six decimals fall on halves
 
 
 _KP = {"left_shoulder": (400, 250), "right_shoulder": (500, 250), "left_wrist": (380, "wy"), "right_wrist": (520, "wy"), "left_elbow": ("380 - g", "(wy + 250) / 2"), "right_elbow": ("520 + g", "(wy + 250) / 2"), "left_hip": ("420 + h", 350), "right_hip": ("480 + h", 350)}
