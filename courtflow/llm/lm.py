@@ -107,27 +107,32 @@ def load_vocabulary(path: str) -> Vocabulary:
     return make_vocabulary(scored)
 
 
+def arcs(v: Vocabulary, text: np.ndarray, opens: bool = True) -> dict[int, np.ndarray]:
+    """Piece ids (-1: none) by length and start, for each row of a byte matrix; ``opens`` says that the rows start a word."""
+    found: dict[int, np.ndarray] = {}
+    text = text.astype(np.uint64)
+    h = np.zeros_like(text)
+    with np.errstate(over="ignore"):
+        for size in range(1, min(text.shape[1], max(v.tables)) + 1):
+            h = (h[:, : text.shape[1] - size + 1] + text[:, size - 1 :] + np.uint64(1)) * _MUL
+            if size not in v.tables:
+                continue
+            keys, at = v.tables[size]
+            pos = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            ids = np.where(keys[pos] == h, at[pos], -1)
+            inner = ids[:, 1:] if opens else ids
+            inner[v.starts[inner] & (inner >= 0)] = -1
+            if (ids >= 0).any():
+                found[size] = ids
+    return found
+
+
 class Lattice:
     """All segmentations of ``n`` words of one length, as piece ids by (length, start)."""
 
     def __init__(self, v: Vocabulary, words: list[bytes]):
         self.length = len(words[0]) + len(_SPACE)
-        text = np.frombuffer(b"".join(_SPACE + w for w in words), np.uint8).reshape(len(words), self.length).astype(np.uint64)
-        self.ids: dict[int, np.ndarray] = {}
-        h = np.zeros_like(text)
-        top = min(self.length, max(v.tables))
-        with np.errstate(over="ignore"):
-            for size in range(1, top + 1):
-                span = self.length - size + 1
-                h = (h[:, :span] + text[:, size - 1 :] + np.uint64(1)) * _MUL
-                if size not in v.tables:
-                    continue
-                keys, at = v.tables[size]
-                pos = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                ids = np.where(keys[pos] == h, at[pos], -1)
-                ids[:, 1:][v.starts[ids[:, 1:]] & (ids[:, 1:] >= 0)] = -1
-                if (ids >= 0).any():
-                    self.ids[size] = ids
+        self.ids = arcs(v, np.frombuffer(b"".join(_SPACE + w for w in words), np.uint8).reshape(len(words), self.length))
 
     def forward(self, logp: np.ndarray) -> np.ndarray:
         """(words, length + 1): log of the summed weights of all ways to spell each prefix. ``logp`` ends in -inf."""
@@ -154,13 +159,58 @@ class Lattice:
             out += np.bincount(ids[hit], w[hit], len(out))
 
 
-def lattices(v: Vocabulary, words: list[bytes], cells: int = 1 << 15) -> Iterator[tuple[list[int], Lattice]]:
-    """(positions, lattice) for words grouped by length, about ``cells`` bytes at a time."""
+class LongWord:
+    """The lattice of one very long word: arcs are made ``window`` starts at a time, so that only the two recursions are held whole."""
+
+    def __init__(self, v: Vocabulary, word: bytes, window: int = 1 << 15):
+        self.v, self.window, self.text = v, window, np.frombuffer(_SPACE + word, np.uint8)
+        self.sizes = np.array(sorted(v.tables))
+
+    def windows(self, logp: np.ndarray, back: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first start, ids, their weights), a row for each start and a column for each length."""
+        places = range(0, len(self.text), self.window)
+        for lo in reversed(places) if back else places:
+            n = min(self.window, len(self.text) - lo)
+            ids = np.full((n, len(self.sizes)), -1)
+            for size, got in arcs(self.v, self.text[None, lo : lo + n + int(self.sizes[-1]) - 1], lo == 0).items():
+                got = got[0, :n]
+                ids[: len(got), np.searchsorted(self.sizes, size)] = got
+            yield lo, ids, logp[ids]
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        """As ``Lattice.forward``, for the one word."""
+        a = np.full(len(self.text) + 1 + self.sizes[-1], -np.inf)
+        a[0] = 0
+        for lo, _, w in self.windows(logp):
+            for i, arc in enumerate(w, lo):
+                a[i + self.sizes] = np.logaddexp(a[i + self.sizes], a[i] + arc)
+        return a[None, : len(self.text) + 1]
+
+    def expected(self, logp: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+        """As ``Lattice.expected``, for the one word."""
+        a = self.forward(logp)[0]
+        b = np.full(len(self.text) + 1 + self.sizes[-1], -np.inf)
+        b[len(self.text)] = 0
+        for lo, ids, w in self.windows(logp, back=True):
+            for i in range(len(w) - 1, -1, -1):
+                b[lo + i] = np.logaddexp.reduce(b[lo + i + self.sizes] + w[i])
+            start = lo + np.arange(len(w))[:, None]
+            hit = ids >= 0
+            uses = np.exp(a[start] + w + b[start + self.sizes] - a[-1]) * counts[0]
+            out += np.bincount(ids[hit], uses[hit], len(out))
+
+
+def lattices(v: Vocabulary, words: list[bytes], cells: int = 1 << 15) -> Iterator[tuple[list[int], Lattice | LongWord]]:
+    """(positions, lattice) for words grouped by length, about ``cells`` bytes at a time; longer words alone, in windows."""
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by.setdefault(len(w), []).append(i)
     for size, at in by.items():
-        step = max(1, cells // (size + 3))
+        if size + len(_SPACE) > cells:
+            for i in at:
+                yield [i], LongWord(v, words[i], cells)
+            continue
+        step = max(1, cells // (size + len(_SPACE)))
         for k in range(0, len(at), step):
             part = at[k : k + step]
             yield part, Lattice(v, [words[i] for i in part])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courtflow.llm.lm import _SPACE, _log, lattices, load_vocabulary, make_vocabulary, score_documents
+from courtflow.llm.lm import _SPACE, LongWord, _log, lattices, load_vocabulary, make_vocabulary, score_documents
 
 MARK = _SPACE.decode()
 
@@ -52,6 +52,21 @@ def test_marginal_and_expected_counts():
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("window", [1, 2, 7, 1000])
+def test_long_words_in_windows(window):
+    v, r = small(), random.Random(8)
+    logp = _log(v.prior)
+    for word in ["a", "ab" * 40, MARK + "a" + MARK, "".join(r.choice(["a", "b", "é", "c", MARK]) for _ in range(90))]:
+        ((_, plain),) = lattices(v, [word.encode()])
+        long = LongWord(v, word.encode(), window)
+        assert long.forward(logp) == pytest.approx(plain.forward(logp))
+        want, got = np.zeros(len(v.prior)), np.zeros(len(v.prior))
+        plain.expected(logp, np.array([3.0]), want)
+        long.expected(logp, np.array([3.0]), got)
+        assert got == pytest.approx(want)
+    assert [type(lat).__name__ for _, lat in lattices(v, [b"ab" * 20, b"b"], 30)] == ["LongWord", "Lattice"]
+
+
 def test_vocabulary_file():
     P = pytest.importorskip("public_tokenizers")
     v = load_vocabulary(P.path("piece_bpe_32k.model"))
