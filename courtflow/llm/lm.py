@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,14 @@ class Vocabulary:
 
     ``starts`` marks pieces that open with the word mark: they match at a word's
     start only. The last entry of ``prior`` is the stop that closes a word.
+    ``heads`` marks the first 16 bits of each table's hashes: few places that hold
+    no piece pass it to be looked up.
     """
 
     pieces: list[bytes]
     prior: np.ndarray
     tables: dict[int, tuple[np.ndarray, np.ndarray]]
+    heads: dict[int, np.ndarray]
     starts: np.ndarray
 
     @property
@@ -84,13 +88,16 @@ def make_vocabulary(scored: list[tuple[bytes, float]], stop: float = 0.25) -> Vo
     prior = 1 / (top - weight + 2.7) if ranks else np.exp(weight - top)
     prior = np.append((1 - stop) * prior / prior.sum(), stop)
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    heads: dict[int, np.ndarray] = {}
     for size in sorted({len(p) for p in pieces}):
         at = np.array([i for i, p in enumerate(pieces) if len(p) == size])
         h = _hash(np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(-1, size))
         order = np.argsort(h)
         tables[size] = (h[order], at[order])
+        heads[size] = np.zeros(1 << 16, bool)
+        heads[size][h >> np.uint64(48)] = True
     starts = np.array([p.startswith(_SPACE) for p in pieces] + [False])
-    return Vocabulary(pieces, prior, tables, starts)
+    return Vocabulary(pieces, prior, tables, heads, starts)
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -118,12 +125,14 @@ def arcs(v: Vocabulary, text: np.ndarray, opens: bool = True) -> dict[int, np.nd
             if size not in v.tables:
                 continue
             keys, at = v.tables[size]
-            pos = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            ids = np.where(keys[pos] == h, at[pos], -1)
-            inner = ids[:, 1:] if opens else ids
-            inner[v.starts[inner] & (inner >= 0)] = -1
-            if (ids >= 0).any():
-                found[size] = ids
+            row, col = np.nonzero(v.heads[size][h >> np.uint64(48)])
+            key = h[row, col]
+            pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            piece = at[pos]
+            hit = (keys[pos] == key) & ~(v.starts[piece] & ((col > 0) | (not opens)))
+            if hit.any():
+                found[size] = np.full(h.shape, -1)
+                found[size][row[hit], col[hit]] = piece[hit]
     return found
 
 
@@ -220,6 +229,12 @@ def _log(p: np.ndarray) -> np.ndarray:
     return np.append(np.log(p[:-1]), -np.inf)  # -1, no match, then weighs nothing
 
 
+def _parts(**cols) -> pa.RecordBatch:
+    """Rows of ``_PART``; the columns that aren't given are null."""
+    n = len(cols["n"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in _PART], schema=_PART)
+
+
 def word_counts(docs: DataFrame, keep: int = 200_000) -> DataFrame:
     """(word, train, total) over (row, id, held_out, body) rows; counts are summed in the task before the shuffle."""
 
@@ -323,26 +338,36 @@ def score_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "head" not in cache:
             names, *values = known.value
-            cache["head"] = dict(zip(names, zip(*(v.tolist() for v in values), strict=True), strict=True))
+            cache["head"], cache["values"] = {w: i for i, w in enumerate(names)}, values
         get = cache["head"].get
-        out: list[tuple] = []
+        texts: list[tuple] = []
+        words: list[bytes] = []
+        uses: list[int] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            row, i, held, size = zip(*texts, strict=True)
+            n, at = np.array(uses, np.int64), np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            text, hit = np.repeat(np.arange(len(size)), size), at >= 0
+            of, where, times = text[hit], at[hit], n[hit]
+            k, b, o, s = (e + np.bincount(of, times * x[where], len(size)) for e, x in zip(end, cache["values"], strict=True))
+            tokens = 1 + np.bincount(text, n, len(size))
+            yield _parts(row=row, id=i, held_out=held, n=tokens.astype(np.int64), known=k.astype(np.int64), base=b, own=o, score=s)
+            rare = np.flatnonzero(~hit)
+            if len(rare):
+                yield _parts(row=np.array(row)[text[rare]], word=[words[j] for j in rare.tolist()], n=n[rare])
+            texts.clear()
+            words.clear()
+            uses.clear()
+
         for row, i, held, body in rows_of(batches, "row", "id", "held_out", "body"):
-            n_words, k, b, o, s = 0, *end
-            for w, c in Counter(words_of(body)).items():
-                n_words += c
-                if (got := get(w)) is None:
-                    out.append((row, None, None, w, c, None, None, None, None))
-                else:
-                    k += c * got[0]
-                    b += c * got[1]
-                    o += c * got[2]
-                    s += c * got[3]
-            out.append((row, i, held, None, n_words + 1, k, b, o, s))
-            if len(out) > 20_000:
-                yield batch(_PART, **dict(zip(_PART.names, zip(*out, strict=True), strict=True)))
-                out = []
-        if out:
-            yield batch(_PART, **dict(zip(_PART.names, zip(*out, strict=True), strict=True)))
+            found = Counter(words_of(body))
+            texts.append((row, i, held, len(found)))
+            words.extend(found)
+            uses.extend(found.values())
+            if len(words) > 100_000 or len(texts) > 20_000:
+                yield from flush()
+        if texts:
+            yield from flush()
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "held_out", "body")
     parts = scratch.table(numbered.mapInArrow(run, "row long, id long, held_out boolean, word binary, n long, known long, base double, own double, score double"), "parts")
