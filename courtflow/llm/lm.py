@@ -304,6 +304,19 @@ def score_words(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary, p
     return words.select("word", "train", "total").mapInArrow(run, "word binary, train long, total long, own double, lattice double")
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words of the highest totals, ``most`` at most: cut between eighths of powers of two, so that no task sorts them."""
+    step = F.floor(F.log2("total") * 8)
+    sizes = {r["step"]: r["n"] for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}  # some 500 steps at most
+    cut, n = math.inf, 0
+    for k in sorted(sizes, reverse=True):
+        n += sizes[k]
+        if n > most:
+            break
+        cut = k
+    return words.where(step >= cut) if cut < math.inf else words.limit(0)
+
+
 def score_documents(
     spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, held_out: Column, head: int = 200_000, head_bytes: int = 64, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -313,8 +326,8 @@ def score_documents(
     end), n_known (tokens seen in training), train_tokens, base_score (add-half
     word frequencies, log10) and score (log10 of the lattice model's marginal
     probability) and own_score (the same by the vocabulary's own weights). The
-    ``head`` most frequent words of at most ``head_bytes`` bytes, so a bounded
-    table, are broadcast and summed in place; other words are joined by a shuffle.
+    most frequent words of at most ``head_bytes`` bytes, ``head`` of them at most, so
+    a bounded table, are broadcast and summed in place; others are joined by a shuffle.
     Null and empty texts hold the end alone. Without training rows the vocabulary's
     own weights are the model; an empty table gives no rows.
     """
@@ -329,7 +342,7 @@ def score_documents(
     words = scratch.table(score_words(spark, counts, vocabulary, p), "words")
     scratch.drop(counts)
     bottom = math.log10(n + 0.5 * (v + 1))
-    top = words.where(F.octet_length("word") <= head_bytes).orderBy(F.desc("total"), "word").limit(head).toArrow()
+    top = frequent(words.where(F.octet_length("word") <= head_bytes), head).toArrow()
     base_of = np.log10(np.array(top["train"], float) + 0.5) - bottom
     known = spark.sparkContext.broadcast((top["word"].to_pylist(), np.array(top["train"]) > 0, base_of, np.array(top["own"], float), np.array(top["lattice"], float)))
     end = (int(n_ends > 0), math.log10(n_ends + 0.5) - bottom, math.log10(vocabulary.prior[vocabulary.stop]), math.log10(p[vocabulary.stop]))
