@@ -44,54 +44,63 @@ class WordIds:
         if suffix:
             self.closes[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.limit, self.words, self.parts = limit, {}, {}
+        self.limit, self.words = limit, {}
 
     def _encode(self, parts: list[bytes]) -> None:
-        plain, rest = [], []
-        for p in parts:
-            (plain if self.marked and _plain(p) else rest).append(p)
+        plain, rest = [], parts
+        if self.marked:
+            plain = [p for p in parts if p.isalpha() and p.islower()]  # of bytes: ASCII letters alone
+            if len(plain) < len(parts):
+                rest = []
+                for p in parts:
+                    if not (p.isalpha() and p.islower()):
+                        (plain if _plain(p) else rest).append(p)
+            else:
+                rest = []
         if plain:
             ids = np.array(self.lean.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(plain):
                 raw, cuts = ids.tobytes(), [0, *(ends * self.dtype.itemsize).tolist()]
-                self.parts.update(zip(plain, (raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)), strict=True))
+                self.words.update(zip(plain, (raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)), strict=True))
             else:
                 rest += plain
         if rest:
             found = self.tok.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
-            self.parts.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(rest, found, strict=True))
-
-    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        if len(self.words) + len(missing) > self.limit:
-            self.words.clear()
-        if len(self.parts) > self.limit:
-            self.parts.clear()
-        cut = {}
+            self.words.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(rest, found, strict=True))
+
+    def _learn(self, run: set[bytes]) -> None:
+        """Put all words of ``run`` into the cache. A word's stem and the marks after it are words too."""
+        words = self.words
+        missing = run.difference(words)
+        if not missing:
+            return
+        if len(words) + len(missing) > self.limit:
+            words.clear()
+            missing = run
+        new, cut = set(), []
         for w in missing:
-            stem = w.rstrip(_MARKS)
-            cut[w] = (stem, w[len(stem) :]) if stem and len(stem) < len(w) and stem[-1] in _ALNUM else (w,)
-        if new := list({p for ps in cut.values() for p in ps if p not in self.parts}):
+            if w[-1] not in _ALNUM and (stem := w.rstrip(_MARKS)) and len(stem) < len(w) and stem[-1] in _ALNUM:
+                cut.append((w, stem, w[len(stem) :]))
+                new.add(stem)
+                new.add(cut[-1][2])
+            else:
+                new.add(w)
+        if new := list(new.difference(words)):
             self._encode(new)
-        parts = self.parts
-        learned = {w: b"".join([parts[p] for p in ps]) for w, ps in cut.items()}
-        self.words.update(learned)
-        return learned
+        for w, stem, marks in cut:
+            words[w] = words[stem] + words[marks]
 
     def raw(self, body: bytes | None) -> bytes:
         """The ids of a text as little-endian bytes of ``dtype``."""
         if not body:
             return b""
         words = body.split() if b"<|" in body else body.lower().split()
-        out, start = [], 0
-        while start < len(words):  # in runs, so that one huge text can't outgrow the cache
+        out = []
+        for start in range(0, len(words), 100_000):  # in runs, so that one huge text can't outgrow the cache
             run = words[start : start + 100_000]
-            got = list(map(self.words.get, run))
-            if None in got:
-                new = self._learn({w for w, g in zip(run, got, strict=True) if g is None})
-                got = [new[w] if g is None else g for w, g in zip(run, got, strict=True)]
-            out.append(b"".join(got))
-            start += len(run)
+            self._learn(set(run))
+            out.append(b"".join(map(self.words.__getitem__, run)))
         return b"".join(out)
 
     def ids(self, body: bytes | None) -> np.ndarray:
